@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adspark.llm import repetition, survivor, terms
+from adspark.llm import canonical, repetition, survivor, terms
 from adspark.runtime import table
 
 
@@ -50,8 +50,22 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return repetition.found(table(spark, d, "ads", "ad_id", "text"), flags=_flags(spark, d))
 
 
+def p6_positions(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.map_positions(table(spark, d, "position_dict"), table(spark, d, "job_titles"))
+
+
+def p6_tags(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.map_tags(table(spark, d, "requirement_dict"), table(spark, d, "requirement_values"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    p = p6_positions(spark, d).where("not exact").select(F.lit("position").alias("field"), "row_id", "item_no", "ref_id")
+    t = p6_tags(spark, d).where("not exact").select(F.lit("tag").alias("field"), "row_id", "item_no", "ref_id")
+    return p.unionByName(t)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_terms, p3_found, p3_survivors, p4_found, p4_repetition)}
+    return {f.__name__: f for f in (p1_found, p1_terms, p3_found, p3_survivors, p4_found, p4_repetition, p6_found, p6_positions, p6_tags)}
 
 
 _TERMS = """
