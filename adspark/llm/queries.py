@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adspark.llm import canonical, repetition, survivor, terms
+from adspark.llm import canonical, langid, repetition, survivor, terms
 from adspark.runtime import table
 
 
@@ -24,6 +24,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return terms.term_frequencies(_term_records(spark, d)).where("mark is not null").select("field", "term", "mark")
 
 
+def p2_languages(spark: SparkSession, d: str) -> DataFrame:
+    return langid.languages(table(spark, d, "ad_text", "ad_id", "text_norm", "lang")).select("ad_id", "label_code", "n_words", F.posexplode_outer("segments").alias("at", "s")).select("ad_id", "label_code", "n_words", (F.col("at") + 1).alias("seg_no"), "s.lang", "s.confidence")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return langid.found(langid.languages(table(spark, d, "ad_text", "ad_id", "text_norm", "lang")))
+
+
 def _survivors(spark: SparkSession, d: str) -> DataFrame:
     dups = table(spark, d, "ad_dups", "ad_id", "dup_cluster_id", "is_canonical")
     return survivor.surviving_records(table(spark, d, "ads"), table(spark, d, "ad_text"), dups)
@@ -65,7 +73,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_terms, p3_found, p3_survivors, p4_found, p4_repetition, p6_found, p6_positions, p6_tags)}
+    return {f.__name__: f for f in (p1_found, p1_terms, p2_found, p2_languages, p3_found, p3_survivors, p4_found, p4_repetition, p6_found, p6_positions, p6_tags)}
 
 
 _TERMS = """
