@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adspark.llm import canonical, langid, repetition, survivor, terms
+from adspark.llm import canonical, keywords, langid, repetition, survivor, terms
 from adspark.runtime import table
 
 
@@ -72,8 +72,16 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p.unionByName(t)
 
 
+def p10_pages(spark: SparkSession, d: str) -> DataFrame:
+    return keywords.stuffed(table(spark, d, "documents", "doc_id", "text", "source"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_pages(spark, d).where("flagged and doc_id is not null").select("doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_terms, p2_found, p2_languages, p3_found, p3_survivors, p4_found, p4_repetition, p6_found, p6_positions, p6_tags)}
+    return {f.__name__: f for f in (p1_found, p1_terms, p2_found, p2_languages, p3_found, p3_survivors, p4_found, p4_repetition, p6_found, p6_positions, p6_tags, p10_found, p10_pages)}
 
 
 _TERMS = """
