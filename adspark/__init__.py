@@ -1,3 +1,10 @@
 """PySpark-native analytics engine for large collections of short, noisy, historical documents."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions sent to executors travel with their code, so that the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

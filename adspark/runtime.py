@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark import SparkContext
+from typing import Any
+
+from pyspark import Broadcast, SparkContext, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,3 +81,20 @@ def wide_partitions(df: DataFrame, least: int = 1) -> int:
 def column_or_null(df: DataFrame, name: str, kind: str):
     """The named column cast to `kind`, or NULL of that type where the table has none."""
     return F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
+
+
+class Shared:
+    """A broadcast object that travels with its class; `value` is rebuilt once per task."""
+
+    def __init__(self, spark: SparkSession, value: Any):
+        self.sent: Broadcast = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+        self.held: Any = None
+
+    def __getstate__(self) -> dict:
+        return {"sent": self.sent, "held": None}
+
+    @property
+    def value(self) -> Any:
+        if self.held is None:
+            self.held = cloudpickle.loads(self.sent.value)
+        return self.held
