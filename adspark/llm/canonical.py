@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from adspark.runtime import bounded_rows, cut
+from adspark.runtime import Shared, bounded_rows, cut
 
 # Groups of letters that print recognition confuses; an edit inside a group costs half.
 CONFUSED = ["ceo", "nu", "nrm", "rvt", "rt", "rn", "hb", "hk", "il1jt", "sf", "ao0", "gq9", "dbo", "bv", "kr", "gs", "mn", "uü", "aä", "oö", "zc", "ck", "yi", "cz", "li", "tf", "pb", "td", "vw"]
@@ -294,7 +294,7 @@ def map_positions(position_dict: DataFrame, titles: DataFrame, bound: int = 100_
     for i, s in spelled:
         often[i] += seen.get(s, 0)
     forms = Spellings(spelled, dict(often))
-    shared = rows.sparkSession.sparkContext.broadcast(forms)
+    shared = Shared(rows.sparkSession, forms)
 
     @F.pandas_udf(JOB)
     def jobs(surface: pd.Series, hints: pd.Series) -> pd.Series:
@@ -322,7 +322,7 @@ def map_tags(requirement_dict: DataFrame, values: DataFrame, bound: int = 100_00
     tag = tag.withColumn("named", F.try_element_at(names, F.concat_ws("\x01", F.coalesce("dimension", F.lit("")), "value")).cast("long"))
     often = {r["named"]: r["n"] for r in tag.where("named is not null").groupBy("named").agg(F.count("*").alias("n")).collect()}  # at most as many rows as the list
     lists = {d: Spellings([(r["value_id"], r["value_name"]) for r in ref if r["dimension"] == d], often) for d in {r["dimension"] for r in ref}}
-    shared = rows.sparkSession.sparkContext.broadcast(lists)
+    shared = Shared(rows.sparkSession, lists)
 
     @F.pandas_udf(T.LongType())
     def spell(dimension: pd.Series, value: pd.Series) -> pd.Series:

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adspark.runtime import bounded_rows
+from adspark.runtime import Shared, bounded_rows
 
 LANGUAGES = ("de", "fr", "it", "en", "cs")
 # Notations of the languages (two- and three-letter codes and names); a region or script may follow.
@@ -336,7 +336,7 @@ def languages(docs: DataFrame, key: str = "ad_id", text: str = "text_norm", lang
     the field has no weights and every word is equally likely in all languages (ties go to the first language of the list).
     """
     field = fit(sample(docs, text, lang, key, per_language))
-    shared = docs.sparkSession.sparkContext.broadcast(field)
+    shared = Shared(docs.sparkSession, field)
     src = docs.select(F.col(key).alias("k"), code(F.col(lang)).alias("c"), F.col(text).alias("t"))
     kind = src.schema["k"].dataType.simpleString()
     out = src.mapInArrow(_decoder(shared), f"k {kind}, c string, n_words int, segments {SEGMENTS}")

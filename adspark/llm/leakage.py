@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adspark.runtime import bounded_rows
+from adspark.runtime import Shared, bounded_rows
 
 HYPHEN = regex.compile(r"(?<=\p{L})[-⸗¬=]\s*\n\s*(?=\p{L})")
 PAGE_LINE = regex.compile(r"^[\s\p{P}\p{S}]*(?:\p{N}{1,4}|(?:seite|nr|pag|page|pagina|strana)\.?\s*\p{N}{1,4})[\s\p{P}\p{S}]*$", regex.I | regex.M)
@@ -222,7 +222,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     Empty tables give no rows. More than `bound` items raise: the build side must fit every task.
     """
     rows = sorted({(r["item_id"], r["text"]) for r in bounded_rows(items.select("item_id", "text"), bound, "the items") if r["item_id"] is not None and r["text"]})
-    shared = docs.sparkSession.sparkContext.broadcast(Items(rows, window))
+    shared = Shared(docs.sparkSession, Items(rows, window))
     src = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     kind = src.schema["k"].dataType.simpleString()
     names = [c.split()[0] for c in LEAK.split(", ")]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adspark.llm import canonical, keywords, langid, leakage, repetition, survivor, terms
+from adspark.llm import canonical, keywords, langid, leakage, ocr, repetition, survivor, terms
 from adspark.runtime import table
 
 
@@ -58,6 +58,15 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return repetition.found(table(spark, d, "ads", "ad_id", "text"), flags=_flags(spark, d))
 
 
+def p5_texts(spark: SparkSession, d: str) -> DataFrame:
+    r = ocr.repair(table(spark, d, "ads", "ad_id", "text", "text_ocr", "newspaper"))
+    return r.withColumn("n_items", F.size("items")).drop("items").dropDuplicates(["ad_id"])
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return ocr.found(ocr.repair(table(spark, d, "ads", "ad_id", "text", "text_ocr", "newspaper")))
+
+
 def p6_positions(spark: SparkSession, d: str) -> DataFrame:
     return canonical.map_positions(table(spark, d, "position_dict"), table(spark, d, "job_titles"))
 
@@ -89,7 +98,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_terms, p2_found, p2_languages, p3_found, p3_survivors, p4_found, p4_repetition, p6_found, p6_positions, p6_tags, p9_found, p9_leaks, p10_found, p10_pages)}
+    return {f.__name__: f for f in (p1_found, p1_terms, p2_found, p2_languages, p3_found, p3_survivors, p4_found, p4_repetition, p5_found, p5_texts, p6_found, p6_positions, p6_tags, p9_found, p9_leaks, p10_found, p10_pages)}
 
 
 _TERMS = """
