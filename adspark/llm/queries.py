@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adspark.llm import canonical, keywords, langid, leakage, ocr, repetition, survivor, terms
+from adspark.llm import canonical, keywords, langid, leakage, ocr, packing, repetition, survivor, terms
 from adspark.runtime import table
 
 
@@ -81,6 +81,10 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p.unionByName(t)
 
 
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents", "doc_id", "text"))
+
+
 def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items"))
 
@@ -98,7 +102,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_terms, p2_found, p2_languages, p3_found, p3_survivors, p4_found, p4_repetition, p5_found, p5_texts, p6_found, p6_positions, p6_tags, p9_found, p9_leaks, p10_found, p10_pages)}
+    return {f.__name__: f for f in (p1_found, p1_terms, p2_found, p2_languages, p3_found, p3_survivors, p4_found, p4_repetition, p5_found, p5_texts, p6_found, p6_positions, p6_tags, p8_containers, p9_found, p9_leaks, p10_found, p10_pages)}
 
 
 _TERMS = """
