@@ -1,0 +1,208 @@
+"""Row-wise text expressions: everything here stays in the JVM but for NFC, NFKD and the Indel ratio."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# Conjunctions before which a trailing hyphen stands for the rest of a compound.
+CONJUNCTIONS = "und|oder|bezw|bzw|resp|respective|beziehungsweise|sowie|u|od|als|bis|wie|or|and|e|o|et|ou"
+LOWER = "a-zäöüßſ"
+# Characters and what they become; applied after the hyphen rules.
+FROM, TO = "ſꝛ„“”»«‚‘’›‹⸗¬", "sr\"\"\"\"\"'''''--"
+# Stop words by which a language is guessed.
+STOP_WORDS = {
+    "de": "der|die|das|und|mit|für|sich|ein|eine|einen|wird|ist|in|zu|bei|als|von|auf|an",
+    "it": "il|della|delle|di|per|che|nel|alla|dei|sono|con|gli|posto",
+    "fr": "le|les|des|et|pour|une|dans|du|est|avec|qui|sa|leur",
+}
+# Search stop words (folded when used) and the endings cut from longer words.
+SEARCH_STOP = (
+    "der die das den dem des ein eine einer eines einem einen und oder mit von zu zur zum im in an am auf für bei als auch aus nach wird werden ist sind "
+    "hat haben sich nicht nur wie so wo welche welcher welches wurden wurde gab gibt suchten sucht gesucht suche anzeige anzeigen inserat inserate"
+).split()
+ENDINGS = "ern|em|en|er|es|e|n|s"
+ACCENTS = ("àáâãåçèéêëìíîïñòóôõùúûýÿčďěňřšťůžäöü", "aaaaaceeeeiiiinoooouuuyycdenrstuzaou")
+
+
+def normalize_text(text: Column) -> Column:
+    """Broken words joined, elisions and compounds kept, characters unified, blanks collapsed; NULL becomes ''.
+
+    Expects composed text (see `unicode.nfc`). The order matters: characters are unified after the hyphen rules.
+    """
+    t = F.coalesce(text, F.lit(""))
+    mark = r"(?U)(\p{L})[⸗¬-]"
+    t = F.regexp_replace(t, rf"{mark}\s*\n\s*(?!(?:{CONJUNCTIONS})\b)(?=[{LOWER}])", "$1")
+    t = F.regexp_replace(t, rf"{mark}\s*\n\s*(?=(?:{CONJUNCTIONS})\b)", "$1- ")
+    t = F.regexp_replace(t, rf"{mark}\s*\n\s*", "$1-")
+    t = F.regexp_replace(t, rf"{mark} +(?!(?:{CONJUNCTIONS})\b)(?=[{LOWER}])", "$1")
+    t = F.replace(F.translate(t, FROM, TO), F.lit("ẞ"), F.lit("SS"))
+    return F.trim(F.regexp_replace(t, r"(?U)\s+", " "))
+
+
+def fold_spelling(text: Column) -> Column:
+    """Lower case without accents, historical spellings unified; applied to both sides of a comparison."""
+    t = F.regexp_replace(F.lower(normalize_text(text)), "ß", "ss")
+    t = F.translate(t, *ACCENTS)
+    t = F.replace(F.replace(t, F.lit("ck"), F.lit("k")), F.lit("th"), F.lit("t"))
+    return F.replace(F.regexp_replace(t, "c(?=[eiy])", "z"), F.lit("c"), F.lit("k"))
+
+
+def words(text: Column) -> Column:
+    """Runs of word characters of the lower-cased text."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+
+
+def max_ngram_repeat(text: Column, n: int = 4) -> Column:
+    """How often the most frequent run of n words occurs; 0 below 2n words. Sorted runs are counted, so no pairs are formed."""
+    w = words(text)
+    runs = F.array_sort(F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.concat_ws(" ", F.slice(w, i, n))))
+    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(acc: Column, x: Column) -> Column:
+        now = F.when(x == acc["last"], acc["now"] + 1).otherwise(1)
+        return F.struct(x.alias("last"), now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+
+    return F.when(F.size(w) < 2 * n, 0).otherwise(F.aggregate(runs, start, step, lambda acc: acc["most"]))
+
+
+def trigrams(text: Column) -> Column:
+    """Distinct letter trigrams of the normalized lower-case text that hold no blank."""
+    t = F.regexp_replace(F.lower(normalize_text(text)), "[^a-zäöüß0-9]+", " ")
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: F.substr(t, i, F.lit(3)))
+    return F.array_distinct(F.filter(grams, lambda g: (F.length(g) == 3) & ~g.contains(" ")))
+
+
+def ocr_support(text: Column, ocr: Column) -> Column:
+    """Share of the text's trigrams that the scan holds too; 1.0 if it has none."""
+    g = trigrams(text)
+    return F.when(F.size(g) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(g, trigrams(ocr))) / F.size(g))
+
+
+def wordlike_share(text: Column) -> Column:
+    """Share of blank-separated tokens that look like words of three letters or more; 0 if there is none."""
+    t = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda x: x != "")
+    like = F.filter(t, lambda x: x.rlike(r"^[A-Za-zÄÖÜäöüſßéèàçò]{3,}[.,;:!?]?$"))
+    return F.when(F.size(t) == 0, F.lit(0.0)).otherwise(F.size(like) / F.size(t))
+
+
+AGE = r"[0-9]{1,3}\s?[½¼¾]?\s?(?:J\.|Mon\.|Mt\.|T\.|W\.|St\.)"
+DEATH_ENTRY = AGE + r"\s?,?\s?(?:[IVX1l]{1,5}\.,|[A-ZÄÖÜ][a-zA-Zäöüßſ.-]+,\s)"
+DEATH_NAME = r"(?:^|[.)]\s)[A-ZÄÖÜ][a-zA-Zäöüßſ-]+\s[A-ZÄÖÜ][a-zA-Zäöüßſ]+,\s[^,]{2,40},\s" + AGE
+SEARCH_VERB = r"(?i)[sſ]ucht\s+(?:Stelle|Po[sſ]ten|Platz|Dien[sſ]t|Be[sſ]ch)|w[üÜ]n[sſ]cht|bittet|empfiehlt"
+
+
+def death_register_entries(text: Column) -> Column:
+    """Number of entries of a death register; 0 where somebody looks for a place."""
+    t = F.coalesce(text, F.lit(""))
+    n = F.greatest(F.size(F.regexp_extract_all(t, F.lit(DEATH_ENTRY), F.lit(0))), F.size(F.regexp_extract_all(t, F.lit(DEATH_NAME), F.lit(0))))
+    return F.when(t.rlike(SEARCH_VERB), 0).otherwise(n)
+
+
+def _hits(text: Column, lang: str) -> Column:
+    """Stop words among the words of a text: German in any case, the others as written."""
+    t = F.lower(text) if lang == "de" else text
+    w = F.regexp_extract_all(F.coalesce(t, F.lit("")), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    return F.size(F.filter(w, lambda x: x.isin(STOP_WORDS[lang].split("|"))))
+
+
+def guess_language(text: Column) -> Column:
+    """it or fr with two or more stop words and more than German ones (a tie is it), unknown below ten letters, else de."""
+    de, it, fr = (_hits(text, x) for x in ("de", "it", "fr"))
+    n = F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}]", ""))
+    foreign = F.greatest(it, fr)
+    return F.when((foreign >= 2) & (foreign > de), F.when(it >= fr, "it").otherwise("fr")).when((de == 0) & (n < 10), "unknown").otherwise("de")
+
+
+def form_key(text: Column, enumerations: bool = True) -> Column:
+    """Grouping key of a surface form: normalized, lower case, outer punctuation and (for positions) numbering stripped."""
+    k = F.lower(normalize_text(text))
+    k = F.regexp_replace(k, r"^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$", "")
+    if enumerations:
+        k = F.regexp_replace(k, r"^(?:[0-9]+[.)]?|[a-z]\))\s+", "")
+    return F.regexp_replace(k, r"\s+", " ")
+
+
+def snippet(text: Column, start: Column, end: Column, width: int) -> Column:
+    """'…left [span] right…'; start and end count from 0."""
+    begin = F.greatest(start - width, F.lit(0))
+    left = F.substr(text, begin + 1, start - begin)
+    return F.concat(F.lit("…"), normalize_text(left), F.lit(" ["), normalize_text(F.substr(text, start + 1, end - start)), F.lit("] "), normalize_text(F.substr(text, end + 1, F.lit(width))), F.lit("…"))
+
+
+def search_tokens(text: Column) -> Column:
+    """Folded words of two characters or more without stop words, endings cut from those longer than five."""
+    w = F.regexp_extract_all(fold_spelling(text), F.lit("[a-z0-9]+"), F.lit(0))
+    stop = sorted({_folded(s) for s in SEARCH_STOP})
+    kept = F.filter(w, lambda x: (F.length(x) >= 2) & ~x.isin(stop))
+    return F.transform(kept, lambda x: F.when(F.length(x) > 5, F.regexp_replace(x, f"(?:{ENDINGS})$", "")).otherwise(x))
+
+
+def _folded(s: str) -> str:
+    s = s.lower().replace("ß", "ss").translate(str.maketrans(*ACCENTS)).replace("ck", "k").replace("th", "t")
+    for v in "eiy":
+        s = s.replace("c" + v, "z" + v)
+    return s.replace("c", "k")
+
+
+def fold_query(s: str) -> str:
+    """The driver-side counterpart of fold_spelling for query strings."""
+    return _folded(s)
+
+
+def index_words(text: Column) -> Column:
+    """Folded words of the keyword index, unstemmed and in order."""
+    return F.regexp_extract_all(fold_spelling(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+def verbatim_share(question: Column, text: Column) -> Column:
+    """Share of the question's words of six letters or more that occur in the text, two decimals; 0 without such words."""
+    w = F.regexp_extract_all(F.lower(question), F.lit(r"\p{L}{6,}"), F.lit(0))
+    t = F.lower(F.coalesce(text, F.lit("")))
+    share = F.size(F.filter(w, lambda x: t.contains(x))) / F.size(w)
+    return F.when(F.size(w) == 0, F.lit(0.0)).otherwise(F.round(share.cast("decimal(20,10)"), 2).cast("double"))
+
+
+def grounded(value: Column, phrase: Column) -> Column:
+    """Whether any content word of the value (four letters, two figures) occurs in the phrase, both folded; true without such words."""
+    w = F.regexp_extract_all(F.lower(normalize_text(value)), F.lit(r"\p{L}{4,}|[0-9]{2,}"), F.lit(0))
+    p = fold_spelling(phrase)
+    return (F.size(w) == 0) | F.exists(w, lambda x: p.contains(fold_spelling(x)))
+
+
+def tag_list(tags: Column) -> Column:
+    """'dimension=value (detail); …', '—' for none."""
+    one = F.transform(F.coalesce(tags, F.array()), lambda t: F.concat(t["dimension"], F.lit("="), t["value"], F.when(F.coalesce(t["detail"], F.lit("")) != "", F.concat(F.lit(" ("), t["detail"], F.lit(")"))).otherwise("")))
+    s = F.concat_ws("; ", one)
+    return F.when(s == "", "—").otherwise(s)
+
+
+CITATION = r"\b[a-z]+_[0-9]{8}_[0-9]{3}_region_[0-9]{4}\b"
+
+
+def citations(text: Column) -> Column:
+    """Identifiers of ads cited in a text, in order of first appearance."""
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(CITATION), F.lit(0)))
+
+
+def _indel(a: str, b: str) -> float:
+    """Normalized Indel similarity 2*LCS/(|a|+|b|), LCS by bit-parallel rows."""
+    if not a and not b:
+        return 1.0
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | (1 << i)
+    full = (1 << len(a)) - 1
+    row = full
+    for c in b:
+        u = row & at.get(c, 0)
+        row = ((row + u) | (row - u)) & full
+    return 2 * (len(a) - row.bit_count()) / (len(a) + len(b))
+
+
+@F.pandas_udf(T.DoubleType())
+def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Similarity of two texts by insertions and deletions; NULL counts as empty."""
+    return pd.Series([_indel(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")

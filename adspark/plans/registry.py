@@ -7,9 +7,9 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from adspark.plans import units
+from adspark.plans import ads, units
 
-MODULES: tuple[ModuleType, ...] = (units,)
+MODULES: tuple[ModuleType, ...] = (units, ads)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -27,4 +27,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return units.p7_amounts(spark, d)
+    return ads.agg_pay_quartiles(spark, d)
