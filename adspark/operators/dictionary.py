@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from adspark.functions.text import form_key, grounded, normalize_text, snippet
+from adspark.functions.unicode import nfc
 
 REQUIREMENT_COLUMNS = ("activity", "attitude_towards_work", "background", "interpersonal", "job_specific", "language")
 HARMONIZE_SHARE = 0.75
@@ -24,7 +25,11 @@ def position_spans(ads: DataFrame) -> DataFrame:
 def requirement_spans(ads: DataFrame, columns: tuple[str, ...] = REQUIREMENT_COLUMNS) -> DataFrame:
     """One row per requirement mention: all span columns in one generate, so the ads are read once."""
     a = ads.select("ad_id", "newspaper", "year", "text", *columns).dropDuplicates(["ad_id"])
-    all_ = F.flatten(F.array(*[F.transform(F.coalesce(F.col(c), F.array()), lambda s, c=c: F.struct(F.lit(c).alias("column"), s["start"].alias("span_start"), s["end"].alias("span_end"), s["text"].alias("phrase"))) for c in columns]))
+
+    def tagged(c: str):
+        return F.transform(F.coalesce(F.col(c), F.array()), lambda s: F.struct(F.lit(c).alias("column"), s["start"].alias("span_start"), s["end"].alias("span_end"), s["text"].alias("phrase")))
+
+    all_ = F.flatten(F.array(*[tagged(c) for c in columns]))
     return a.select("ad_id", "newspaper", "year", "text", F.explode(all_).alias("s")).select("ad_id", "newspaper", "year", "text", "s.*")
 
 
@@ -109,7 +114,8 @@ def form_conflicts(position_dict: DataFrame) -> DataFrame:
 def verification_candidates(requirement_dict: DataFrame) -> DataFrame:
     """Tags whose value does not occur in their phrase: to be checked without context."""
     t = requirement_dict.dropDuplicates(["req_id"]).select("req_id", "key", "column", "surface", F.posexplode("tags").alias("tag_no", "t")).where("t.value is not null")
-    return t.where(~grounded(F.col("t.value"), F.col("surface"))).select("req_id", "key", "tag_no", "column", "surface", F.col("t.dimension").alias("dimension"), F.col("t.value").alias("value"))
+    t = t.withColumn("_v", nfc(F.col("t.value"))).withColumn("_s", nfc(F.col("surface")))
+    return t.where(~grounded(F.col("_v"), F.col("_s"))).select("req_id", "key", "tag_no", "column", "surface", F.col("t.dimension").alias("dimension"), F.col("t.value").alias("value"))
 
 
 def apply_verification(requirement_dict: DataFrame, results: DataFrame) -> DataFrame:

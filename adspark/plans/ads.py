@@ -312,15 +312,18 @@ def ngram_repeat(spark, d):
     return _ads(spark, d, "text").select("ad_id", T.max_ngram_repeat(F.col("text")).cast("long").alias("repeat_max"))
 
 
-def _tri(x: str) -> str:
-    t = rf"regexp_replace(lower({S.norm(x)}), '[^a-zäöüß0-9]+', ' ', 'g')"
+def _plain(x: str) -> str:
+    return rf"regexp_replace(lower({S.norm(x)}), '[^a-zäöüß0-9]+', ' ', 'g')"
+
+
+def _tri(t: str) -> str:
     return f"list_distinct(list_filter(list_transform(range(1, greatest(length({t}) - 1, 2)), lambda i: substr({t}, i, 3)), lambda g: length(g) = 3 and not contains(g, ' ')))"
 
 
-@register(f"with {S.ADS}, x as (select ad_id, {_tri('text')} as g, {_tri('text_ocr')} as o from a) select ad_id, round(case when len(g) = 0 then 1.0 else len(list_intersect(g, o)) / len(g) end, 9) as support from x")
+@register(f"with {S.ADS}, y as (select ad_id, {_plain('text')} as pt, {_plain('text_ocr')} as po from a), x as (select ad_id, {_tri('pt')} as g, {_tri('po')} as o from y) select ad_id, round(case when len(g) = 0 then 1.0 else len(list_intersect(g, o)) / len(g) end, 9) as support from x")
 def trigram_support(spark, d):
-    a = _ads(spark, d, "text", "text_ocr")
-    return a.select("ad_id", F.round(T.ocr_support(nfc(F.col("text")), nfc(F.col("text_ocr"))), 9).alias("support"))
+    a = _ads(spark, d, "text", "text_ocr").select("ad_id", nfc(F.col("text")).alias("t"), nfc(F.col("text_ocr")).alias("o"))
+    return a.select("ad_id", F.round(T.ocr_support(F.col("t"), F.col("o")), 9).alias("support"))
 
 
 @register(f"with {S.ADS}, x as (select ad_id, list_filter(regexp_split_to_array(coalesce(text_ocr, ''), '\\s+'), lambda x: x <> '') as t from a) select ad_id, round(case when len(t) = 0 then 0.0 else len(list_filter(t, lambda x: regexp_matches(x, '^[A-Za-zÄÖÜäöüſßéèàçò]{{3,}}[.,;:!?]?$'))) / len(t) end, 9) as share from x")

@@ -10,10 +10,10 @@ _CONJ = T.CONJUNCTIONS
 def norm(x: str) -> str:
     """normalize_text without lookaheads: elisions before conjunctions are rewritten or shielded first."""
     x = f"nfc_normalize(coalesce({x}, ''))"
-    x = rf"regexp_replace({x}, '(\p{{L}})[⸗¬-]\s*\n\s*((?:{_CONJ})\b)', '\1- \2', 'g')"
+    x = rf"regexp_replace({x}, '(\p{{L}})[⸗¬-]\s*\n\s*((?:{_CONJ})(?:[^\p{{L}}\p{{N}}_]|$))', '\1- \2', 'g')"
     x = rf"regexp_replace({x}, '(\p{{L}})[⸗¬-]\s*\n\s*([{T.LOWER}])', '\1\2', 'g')"
     x = rf"regexp_replace({x}, '(\p{{L}})[⸗¬-]\s*\n\s*', '\1-', 'g')"
-    x = rf"regexp_replace({x}, '(\p{{L}})([⸗¬-]) +((?:{_CONJ})\b)', '\1\2' || chr(1) || ' \3', 'g')"
+    x = rf"regexp_replace({x}, '(\p{{L}})([⸗¬-]) +((?:{_CONJ})(?:[^\p{{L}}\p{{N}}_]|$))', '\1\2' || chr(1) || ' \3', 'g')"
     x = rf"regexp_replace({x}, '(\p{{L}})[⸗¬-] +([{T.LOWER}])', '\1\2', 'g')"
     to = T.TO.replace("'", "''")
     x = f"replace(translate(replace({x}, chr(1), ''), '{T.FROM}', '{to}'), 'ẞ', 'SS')"
