@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
@@ -36,7 +37,8 @@ MARKS = "-⸗¬=‐‑­"
 CONJUNCTIONS = frozenset("und u oder od bis bezw resp sowie noch wie als et ou e ed o and or a i nebo".split())
 BREAK = regex.compile(rf"([\p{{L}}\p{{M}}\p{{N}}]+)([{regex.escape(MARKS)}])\s*$")
 HEAD = regex.compile(r"^\s*([\p{L}\p{M}\p{N}]+)")
-TOKEN = regex.compile(r"[\p{L}\p{M}][\p{L}\p{M}\p{N}]*|\p{N}+[\p{L}\p{M}][\p{L}\p{M}\p{N}]*")
+TOKEN = re.compile(r"[^\W\d_][^\W_]*|\d+[^\W\d_][^\W_]*")  # composed text; the standard module is much the faster one
+NUMBER = re.compile(r"\d+")
 COMPOUND = regex.compile(rf"([\p{{L}}\p{{M}}]+)-(?=([\p{{L}}\p{{M}}]+))")
 LEFT_BREAK = regex.compile(rf"(?<=[\p{{L}}])[{regex.escape(MARKS)}]\s+(?!(?:{'|'.join(sorted(CONJUNCTIONS))})\b)(?=\p{{Ll}})")
 TITLED = regex.compile(r"^(?:(?:Nr|No)\.?\s*)?\p{N}+\.?\s{1,}(?P<a>\p{L}.*?)(?:\s+(?:vom|den|am)\s+[\p{N}.\s]+)?$|^(?P<b>\p{L}.*?)\s{2,}(?:\p{L}+\.?\s+)?\p{N}+\.?$")
@@ -50,13 +52,30 @@ def plain(s: str) -> str:
     return s if s.isascii() else unicodedata.normalize("NFC", s)
 
 
+def unbroken(p: str) -> str:
+    """A corrected text with the line-end hyphens that are left in it taken out."""
+    return LEFT_BREAK.sub("", p) if any(m in p for m in MARKS) else p
+
+
+NO_LETTERS = re.compile(r"[\W\d_]+")
+PAGE_WORDS = re.compile(r"^(?:nr|no|seite|page|pag|strana)\s+|\s+(?:vom|seite|page|pag|strana|nr|no)$")
+ANY_WORD = re.compile(r"[^\W\d_]+")
+ANY_BLANKS = re.compile(r"\s{2,}")
+
+
 def letters(s: str) -> str:
-    return regex.sub(r"[^\p{L}]+", " ", plain(s)).strip()
+    return NO_LETTERS.sub(" ", plain(s)).strip()
+
+
+def broken(line: str):
+    """The match of a word broken at the line's end, or None."""
+    end = line.rstrip()
+    return BREAK.search(end) if end and end[-1] in MARKS else None
 
 
 def title_of(line: str) -> str | None:
     """The title beside a page or issue number, if the line looks like a running header."""
-    if len(line) > 80 or not any(c.isdigit() for c in line) or not (BLANKS.search(line) or line.startswith(("Nr", "No"))):
+    if len(line) > 80 or not ("  " in line or "\t" in line or line.startswith(("Nr", "No"))) or not NUMBER.search(line):
         return None
     m = TITLED.match(line)
     t = m and letters(m["a"] or m["b"])
@@ -81,7 +100,7 @@ def counts(ads: DataFrame, text: str, scan: str, source: str) -> DataFrame:
         for b in batches:
             for t, s, src in zip(b.column("t").to_pylist(), b.column("s").to_pylist(), b.column("src").to_pylist(), strict=True):
                 if t:
-                    p = LEFT_BREAK.sub("", plain(t))
+                    p = unbroken(plain(t))
                     words.update(TOKEN.findall(p))
                     if "-" in p:
                         held.update(("h", x + "-" + y, "") for x, y in COMPOUND.findall(p) if y not in CONJUNCTIONS)
@@ -135,14 +154,14 @@ class Knowledge:
 
 def shape(line: str) -> str:
     """Figures as 9, capitalised words as A, words in capitals as X, other words as a, blanks as they are in number."""
-    s = regex.sub(r"\p{N}+", "9", line)
-    s = regex.sub(r"\p{L}[\p{L}\p{M}]*", lambda m: "X" if m[0].isupper() and len(m[0]) > 1 else "A" if m[0][0].isupper() else "a", s)
-    return regex.sub(r"\s{2,}", "__", s)[:24]
+    s = NUMBER.sub("9", line)
+    s = ANY_WORD.sub(lambda m: "X" if m[0].isupper() and len(m[0]) > 1 else "A" if m[0][0].isupper() else "a", s)
+    return ANY_BLANKS.sub("__", s)[:24]
 
 
 def _all_words(s: str) -> list[str]:
     p = plain(s)
-    return TOKEN.findall(p) + regex.findall(r"\p{N}+", p)
+    return TOKEN.findall(p) + NUMBER.findall(p)
 
 
 def _needed(line: str, scanned: Counter, wanted: Counter) -> str:
@@ -159,7 +178,7 @@ def line_features(lines: list[str], i: int, source: str, know: Knowledge, witnes
     line = lines[i].strip()
     key = letters(line)
     own = know.titles.get(source or "", ())
-    core = regex.sub(r"^(?:nr|no|seite|page|pag|strana)\s+|\s+(?:vom|seite|page|pag|strana|nr|no)$", "", key)
+    core = PAGE_WORDS.sub("", key)
     titled = bool(core) and (core in own or any(abs(len(t) - len(core)) <= 2 and _close(t, core) for t in own))
     ws = core.split()
     ends = bool(ws) and len(ws) <= 6 and ws[-1] in know.ends
@@ -173,9 +192,9 @@ def line_features(lines: list[str], i: int, source: str, know: Knowledge, witnes
 
 def _carried(lines: list[str], i: int) -> bool:
     """Whether the line may end a word broken on the line before it, or before a short line between."""
-    if i and BREAK.search(lines[i - 1].rstrip()):
+    if i and broken(lines[i - 1]):
         return True
-    return i > 1 and len(lines[i - 1]) < 60 and lines[i].strip()[:1].islower() and bool(BREAK.search(lines[i - 2].rstrip()))
+    return i > 1 and len(lines[i - 1]) < 60 and lines[i].strip()[:1].islower() and bool(broken(lines[i - 2]))
 
 
 def _covered(tokens: list[str], seen: set[str]) -> bool:
@@ -328,9 +347,9 @@ class Page:
     def witness(self, text: str | None) -> tuple[list[str], set[str] | None, set[str] | None]:
         if not text:
             return [], None, None
-        p = LEFT_BREAK.sub("", plain(text))
+        p = unbroken(plain(text))
         listed = TOKEN.findall(p)
-        return listed, set(listed) | set(regex.findall(r"\p{N}+", p)), {x + "-" + y for x, y in COMPOUND.findall(p)} if "-" in p else set()
+        return listed, set(listed) | set(NUMBER.findall(p)), {x + "-" + y for x, y in COMPOUND.findall(p)} if "-" in p else set()
 
     def repair(self, scan: str | None, text: str | None, source: str | None) -> tuple[str, list[tuple[str, str]]]:
         """Continuous text of a scan, and what was repaired as (kind, item), each once."""
@@ -341,14 +360,18 @@ class Page:
         lines = [x for x in scan.split("\n") if x.strip()]
         found: dict[tuple[str, str], None] = {}
         kept: list[str] = []
-        near = None
-        if seen is not None and _covered(TOKEN.findall(plain(scan)), seen):
-            near = (Counter(_all_words(scan)), Counter(_all_words(LEFT_BREAK.sub("", plain(text)))))
+        spoken = [TOKEN.findall(plain(x)) for x in lines]
+        near: tuple[Counter, Counter] | None | bool = False  # not yet known
         for i, line in enumerate(lines):
-            # Long lines whose words the witness holds are no furniture; most lines end here.
-            if len(line) > 24 and seen and i and (m := HEAD.match(line)) and not title_of(line.strip()) and sum(w in seen for w in TOKEN.findall(plain(line))) >= 2:
+            # Longer lines most of whose words the corrected text holds are no furniture; most lines end here.
+            if seen and len(line) > 20 and 2 * sum(w in seen for w in spoken[i]) > len(spoken[i]) and not title_of(line.strip()):
                 kept.append(line)
-            elif self.lines.score(line_features(lines, i, source, know, near)) > 0:
+                continue
+            if near is False:
+                near = None
+                if seen is not None and _covered([w for ws in spoken for w in ws], seen):
+                    near = (Counter(_all_words(scan)), Counter(_all_words(unbroken(plain(text)))))
+            if self.lines.score(line_features(lines, i, source, know, near)) > 0:
                 found["furniture", line.strip()] = None
             else:
                 kept.append(line)
@@ -358,7 +381,7 @@ class Page:
         for i, line in enumerate(kept):
             line = carry + line.strip()
             carry = ""
-            m = BREAK.search(line)
+            m = broken(line)
             nxt = HEAD.match(kept[i + 1]) if m and i + 1 < len(kept) else None
             if m and nxt:
                 if self.joins.score(join_features(m[1], m[2], nxt[1], know, seen, compounds)) > 0:
@@ -411,7 +434,7 @@ def train(sample: list[tuple[str, str, str]], know: Knowledge, epochs: int = 4,
         kept = []
         if not _covered(TOKEN.findall(plain(scan)), seen):
             continue  # the text is cut, invented or another one: it teaches nothing about this scan
-        both = (Counter(_all_words(scan)), Counter(_all_words(LEFT_BREAK.sub("", plain(text)))))
+        both = (Counter(_all_words(scan)), Counter(_all_words(unbroken(plain(text)))))
         for i, line in enumerate(lines):
             carried = _carried(lines, i)
             # Nothing of a line in the corrected text: furniture, unless it only ends a broken word.
@@ -424,7 +447,7 @@ def train(sample: list[tuple[str, str, str]], know: Knowledge, epochs: int = 4,
         for i, line in enumerate(kept):
             line = carry + line.strip()
             carry = ""
-            m = BREAK.search(line)
+            m = broken(line)
             nxt = HEAD.match(kept[i + 1]) if m and i + 1 < len(kept) else None
             if m and nxt:
                 joined, hyph = plain(m[1] + nxt[1]), plain(m[1]) + "-" + plain(nxt[1])
