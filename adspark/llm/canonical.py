@@ -105,6 +105,11 @@ def deletes(s: str, k: int) -> set[str]:
     return out
 
 
+def negated(word: str, spelled: str) -> bool:
+    """Whether the word is the spelling with a prefix of negation: that is no misspelling of it."""
+    return word.startswith("un") and not spelled.startswith("un") and word[2:4] == spelled[:2]
+
+
 def allowed(n: int) -> float:
     """The largest weighted distance at which a word of n letters still names a spelling."""
     return 0.0 if n <= 3 else 1.0 if n <= 5 else 1.5 if n <= 7 else 2.0
@@ -154,8 +159,8 @@ class Spellings:
             extra = 0.0 if v == f else 0.5
             for d in deletes(v, 2 if len(v) > 5 else 1):
                 for s in self.index.get(d, ()):
-                    if v.startswith("un") and not s.startswith("un") and v[2:4] == s[:2]:
-                        continue  # a negation is no misspelling
+                    if negated(v, s):
+                        continue
                     c = distance(v, s, 2.5) + extra
                     if c <= allowed(min(len(f), len(s))):
                         key = (c, -self.frequency.get(self._ref(s), 0), self._ref(s))
@@ -269,6 +274,8 @@ def _word_cost(word: str, target: str) -> float:
         return 0.9
     if len(w) >= 2 and w[0] == target[0] and not regex.search("[aeiou]", w) and _within(w, target) and target[: len(w)] != w:
         return 0.8
+    if negated(w, target):
+        return 99.0
     d = distance(w, target, 2.5)
     return d / 2 if d <= allowed(min(len(w), len(target))) else 99.0
 
