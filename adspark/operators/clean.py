@@ -9,8 +9,10 @@ from adspark.operators import dictionary, pay
 from adspark.operators.filters import BENEFITS
 
 
-def distinct_list(c: str) -> Column:
-    return F.sort_array(F.collect_set(c))
+def distinct_list(c: str | Column) -> Column:
+    """The distinct non-null values, sorted; NULL if there is none."""
+    x = F.collect_set(c)
+    return F.when(F.size(x) > 0, F.sort_array(x))
 
 
 def position_lists(positions: DataFrame) -> DataFrame:
@@ -23,7 +25,7 @@ def position_lists(positions: DataFrame) -> DataFrame:
 def requirement_lists(requirements: DataFrame) -> DataFrame:
     """Per ad the distinct tags as 'dimension:value' and the distinct dimensions."""
     tag = F.concat_ws(":", "dimension", "value")
-    return requirements.groupBy("ad_id").agg(F.sort_array(F.collect_set(F.when(F.col("value").isNotNull(), tag))).alias("requirement_tags"), distinct_list("dimension").alias("requirement_dimensions"))
+    return requirements.groupBy("ad_id").agg(distinct_list(F.when(F.col("value").isNotNull() & F.col("dimension").isNotNull(), tag)).alias("requirement_tags"), distinct_list("dimension").alias("requirement_dimensions"))
 
 
 def amounts(ad_salary: DataFrame) -> DataFrame:

@@ -7,9 +7,9 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from adspark.plans import ads, units
+from adspark.plans import ads, retrieval, units
 
-MODULES: tuple[ModuleType, ...] = (units, ads)
+MODULES: tuple[ModuleType, ...] = (units, ads, retrieval)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
