@@ -4,24 +4,31 @@ Items and documents are brought to the same canonical template: hyphenated line
 folded, figures replaced by a number slot, units by a unit slot, and words outside the items' common vocabulary (names and
 misread words) by a name slot. Windows of `window` template words of all items form the build side of a hash join; it is a
 reference table of proven size, so it is sent to every task and each document's windows probe it as they are made. Nothing
-of the corpus is shuffled but the hits.
+of the corpus is shuffled but the hits. Pairs of neighbouring folded words, rare ones included, are indexed beside the
+templates, and a place needs no more of them than a quoted stretch of the least length keeps when `1 - DENSE` of its words
+are changed.
 
-A document that shares windows with an item is aligned with it, word by word, around the place of the hits: a local alignment
-finds the stretch in which the item's words follow in order. Words match if they are equal after folding or within the
-edits of a misreading. The slots inside the stretch are compared too: `slots_equal` tells how many numbers, units and
+Items of which a document might repeat half are not left to windows: an alignment cannot match more words than the document
+and the item have in common, nor more than their longest common subsequence, so every item that reaches the least number by
+both bounds is aligned, wherever its words stand.
+
+A document that may repeat an item is aligned with it, word by word: a local alignment finds the stretch in which the item's
+words follow in order. Words match if they are equal after folding or within the edits of a misreading. The slots inside the stretch are compared too: `slots_equal` tells how many numbers, units and
 names agree, and `renamed` whether all that differ are replaced one for one, which marks a re-parameterised question.
 """
 
 from __future__ import annotations
 
+import math
 import unicodedata
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adspark.runtime import Shared, bounded_rows
@@ -29,6 +36,9 @@ from adspark.runtime import Shared, bounded_rows
 HYPHEN = regex.compile(r"(?<=\p{L})[-⸗¬=]\s*\n\s*(?=\p{L})")
 PAGE_LINE = regex.compile(r"^[\s\p{P}\p{S}]*(?:\p{N}{1,4}|(?:seite|nr|pag|page|pagina|strana)\.?\s*\p{N}{1,4})[\s\p{P}\p{S}]*$", regex.I | regex.M)
 WORD = regex.compile(r"[\p{L}\p{M}]+|\p{N}+")
+# What counts as repeated: a stretch over this part of an item, with this part of its words agreeing.
+HALF, DENSE = 0.5, 0.72
+MISS, GAP = 0.5, 0.4  # what a changed word and a missing or added one cost an alignment
 SLOT = {"number": "\x01", "unit": "\x02", "name": "\x03"}
 # Words for units of measure, money and time, as folded by fold().
 UNITS = frozenset("elen fuder schefel zuber strange eimer pfund zentner metzen klafter fl kr gulden kreuzer kronen heler mark wochen monate jahre tage stunden ells bushels tubs hanks weeks months years braci tini staia matase setimane mesi ani aunes boiseaux cuves semaines mois ans lokti meric kadi praden tydnu mesicu let".split())
@@ -77,6 +87,22 @@ class Items:
                 key = tuple(t[p : p + window])
                 if sum(x not in SLOT.values() for x in key) >= min(3, len(t)):
                     self.index[key].append((n, p))
+        self.pairs: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+        self.masks: list[dict[int, int]] = []
+        post: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for n, c in enumerate(self.coded):
+            at: dict[int, int] = defaultdict(int)
+            ks = c.tolist()
+            for p, w in enumerate(ks):
+                at[w] |= 1 << p
+            for p, pair in enumerate(zip(ks, ks[1:], strict=False)):
+                self.pairs[pair].append((n, p))
+            for w, bits in at.items():
+                post[w] += [(n, k) for k in range(bits.bit_count())]
+            self.masks.append(dict(at))
+        # Items that hold a word once, twice and so on, each level with all that reach it.
+        self.post = {w: [np.array([n for n, k in x if k == j], np.int32) for j in range(1 + max(k for _, k in x))] for w, x in post.items()}
+        self.need = np.array([math.ceil(HALF * DENSE * len(c) - 1e-9) for c in self.coded])
         self.memo: dict[str, tuple[str, int]] = {}
 
     def template(self, folded: str) -> str:
@@ -132,7 +158,7 @@ def _edits(a: str, b: str, most: int = 3) -> int:
     return prev[-1]
 
 
-def align(item: np.ndarray, doc: np.ndarray, miss: float = 0.5, gap: float = 0.4) -> tuple[int, list[tuple[int, int]]]:
+def align(item: np.ndarray, doc: np.ndarray, miss: float = MISS, gap: float = GAP) -> tuple[int, list[tuple[int, int]]]:
     """Best local alignment (match 1): number of matched words and the aligned pairs (item position, document position)."""
     n, m = len(item), len(doc)
     if not n or not m:
@@ -160,10 +186,64 @@ def align(item: np.ndarray, doc: np.ndarray, miss: float = 0.5, gap: float = 0.4
     return sum(doc[q] == item[p] for p, q in pairs), pairs
 
 
+def common(hits: list[tuple[int, int]], size: int) -> int:
+    """Length of the longest common subsequence of a document and an item, from (document position, bits of the item's
+    positions that hold this word), in order."""
+    v = full = (1 << size) - 1
+    for _, bits in hits:
+        u = v & bits
+        if u:
+            v = ((v + u) | (v - u)) & full
+    return size - v.bit_count()
+
+
+def repeats(matched: float, coverage: float) -> bool:
+    """Whether a stretch is repeated in the sense of `found`."""
+    return coverage >= HALF and (matched >= HALF or matched >= DENSE * coverage)
+
+
+def stretches(item: np.ndarray, numbers: np.ndarray, hits: list[tuple[int, int]], lo: int, hi: int, need: int) -> Iterator[tuple]:
+    """Alignments in numbers[lo:hi], and beside each that is not repeated, while `need` words in order are possible there."""
+    size = len(item)
+    within = hits[bisect_left(hits, (lo, 0)) : bisect_left(hits, (hi, 0))]
+    if len(within) < need:
+        return
+    shared = common(within, size)
+    if shared < need:
+        return
+    # An alignment with more added words than this would score below nothing, so each lies whole in one of the parts.
+    most = shared + math.ceil(shared / GAP)
+    step = max(1, most // 4)
+    if hi - lo > most + step:
+        for at in range(lo, hi - most, step):
+            yield from stretches(item, numbers, within, at, min(hi, at + step + most), need)
+        return
+    matched, pairs = align(item, numbers[lo:hi])
+    if pairs:
+        yield matched, pairs, lo
+        if not repeats(matched / size, (pairs[-1][0] - pairs[0][0] + 1) / size):
+            yield from stretches(item, numbers, hits, lo, lo + pairs[0][1], need)
+            yield from stretches(item, numbers, hits, lo + pairs[-1][1] + 1, hi, need)
+
+
+def halves(items: Items, numbers: np.ndarray) -> Iterator[tuple[int, tuple]]:
+    """(item, alignment) wherever at least half of an item may be repeated."""
+    codes = [(p, w) for p, w in enumerate(numbers.tolist()) if w >= 0]
+    if not codes:
+        return
+    post = items.post
+    shared = np.bincount(np.concatenate([x for w, k in Counter(w for _, w in codes).items() for x in post[w][:k]]), minlength=len(items.coded))
+    for n in np.nonzero(shared >= items.need)[0].tolist():
+        masks, need = items.masks[n], int(items.need[n])
+        hits = [(p, masks[w]) for p, w in codes if w in masks]
+        for x in stretches(items.coded[n], numbers, hits, 0, len(numbers), need):
+            yield n, x
+
+
 def leaks_in(text: str, items: Items, least: float) -> list[dict]:
     """The items of which a text repeats a stretch: coverage, matched words, place, and agreement of slots."""
     ws = words(text)
-    if len(ws) < 2:
+    if not ws:
         return []
     coded = [items.encode(w) for w in ws]
     template = [t for t, _ in coded]
@@ -173,32 +253,49 @@ def leaks_in(text: str, items: Items, least: float) -> list[dict]:
     for p in range(max(1, len(ws) - k + 1)):
         for n, q in index.get(tuple(template[p : p + k]), ()):
             hits[n].append((p, q))
-    if not hits:
-        return []
+    near: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for p, pair in enumerate(zip(coded, coded[1:], strict=False)):
+        for n, q in items.pairs.get((pair[0][1], pair[1][1]), ()):
+            near[n].append((p, q))
     numbers = np.array([v for _, v in coded], np.int32)
+    whole: dict[int, list[tuple]] = defaultdict(list)
+    for n, x in halves(items, numbers):
+        whole[n].append(x)
     out = []
-    for n, found in hits.items():
+    none: set[int] = set()
+    for n in sorted(hits.keys() | near.keys() | whole.keys()):
         item = items.coded[n]
         size = len(item)
+        # Each changed word spoils two pairs of the shortest stretch that counts, and moves the rest by one place at most.
+        short = math.ceil(least * size)
+        changed = int((1 - DENSE) * short)
+        enough = max(1, short - 1 - 2 * changed)
+        if n not in hits and n not in whole and len(near[n]) < enough:
+            continue
         # Windows vote for the place where the item would begin; votes of one place lie within a fifth of its length.
         slack = max(6, size // 5)
-        starts = sorted({(p - q) // slack for p, q in found})
-        votes = Counter((p - q) // slack for p, q in found)
-        best = None
-        for s in starts:
-            if votes[s] + votes[s + 1] < max(1, int(0.08 * size)):
-                continue
+        votes = Counter((p - q) // slack for p, q in hits.get(n, ()))
+        starts = {s for s in votes if votes[s] + votes[s + 1] >= max(1, int(0.08 * size))}
+        paired: dict[int, set[int]] = defaultdict(set)
+        for p, q in near.get(n, ()):
+            paired[(p - q) // (changed + 1)].add(q)
+        starts |= {s * (changed + 1) // slack for s, qs in paired.items() if len(qs | paired.get(s + 1, none)) >= enough}
+        found = whole.get(n, [])
+        for s in sorted(starts):
             lo, hi = max(0, (s - 1) * slack), (s + 3) * slack + size + size // 3
             if hi <= 0:
                 continue
             matched, pairs = align(item, numbers[lo:hi])
             if pairs:
-                span = pairs[-1][0] - pairs[0][0] + 1
-                cand = (matched, span, lo + pairs[0][1], lo + pairs[-1][1], lo, pairs)
-                best = cand if best is None or cand[:2] > best[:2] else best
+                found.append((matched, pairs, lo))
+        best = None
+        for matched, pairs, lo in sorted(found, key=lambda x: x[2] + x[1][0][1]):
+            span = pairs[-1][0] - pairs[0][0] + 1
+            cand = (repeats(matched / size, span / size), matched, span, lo + pairs[0][1], lo + pairs[-1][1], lo, pairs)
+            best = cand if best is None or cand[:3] > best[:3] else best
         if best is None:
             continue
-        matched, span, first, last, lo, pairs = best
+        _, matched, span, first, last, lo, pairs = best
         if span < least * size:
             continue
         folded = items.folded[n]
@@ -217,7 +314,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     """One row per (document, item) that share a stretch of at least `least` of the item's words.
 
     `coverage` is the part of the item from its first to its last aligned word, `matched` the part whose words really agree.
-    Documents or items delivered twice count once (the fullest match holds). NULL and empty texts have no leaks, NULL items
+    Documents or items delivered twice count once (a repeated half, then the fullest match holds). NULL and empty texts have no leaks, NULL items
     are skipped; very long texts are searched whole; ties between places go to the earlier one. Extra columns are ignored.
     Empty tables give no rows. More than `bound` items raise: the build side must fit every task.
     """
@@ -239,15 +336,19 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
             keys = b.column("k").take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([keys, *[pa.array([f[c] for f in found], ty) for c, ty in zip(names, types, strict=True)]], names=["k", *names])
 
-    out = src.mapInArrow(run, f"k {kind}, {LEAK}").groupBy("k", "item_id").agg(F.max(F.struct("matched", "coverage", "first_word", "last_word", "slots_equal", "renamed")).alias("x"))
-    return out.select(F.col("k").alias(key), "item_id", "x.*")
+    fullest = F.struct(_repeated().alias("repeated"), "matched", "coverage", "first_word", "last_word", "slots_equal", "renamed")
+    out = src.mapInArrow(run, f"k {kind}, {LEAK}").groupBy("k", "item_id").agg(F.max(fullest).alias("x"))
+    return out.select(F.col("k").alias(key), "item_id", "x.*").drop("repeated")
+
+
+def _repeated(half: float = HALF, dense: float = DENSE) -> Column:
+    return (F.col("coverage") >= half) & ((F.col("matched") >= half) | (F.col("matched") >= F.lit(dense) * F.col("coverage")))
 
 
-def found(leaked: DataFrame, key: str = "doc_id", half: float = 0.5, dense: float = 0.72) -> DataFrame:
+def found(leaked: DataFrame, key: str = "doc_id", half: float = HALF, dense: float = DENSE) -> DataFrame:
     """(key, item_id): the document repeats at least half of the item's words in order and in one stretch.
 
     Single changed, missing or misread words do not count against a stretch: it also holds if it reaches over half of the item
     and at least `dense` of its words agree, as they do not in other sentences on the same subject.
     """
-    agree = (F.col("matched") >= half) | (F.col("matched") >= F.lit(dense) * F.col("coverage"))
-    return leaked.where((F.col("coverage") >= half) & agree & F.col(key).isNotNull()).select(key, "item_id")
+    return leaked.where(_repeated(half, dense) & F.col(key).isNotNull()).select(key, "item_id")

@@ -245,6 +245,20 @@ def test_leaks(spark):
     assert leakage.leaks(d.limit(0), it).count() == 0 and leakage.leaks(d, it.limit(0)).count() == 0
 
 
+def test_every_half_of_an_item_of_rare_words_is_found():
+    rng = random.Random(9)
+    vocab = [f"wort{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+    texts = [" ".join(rng.choice(vocab) for _ in range(40)) for _ in range(30)]
+    texts.append(" ".join(f"eigen{chr(97 + i)}{chr(122 - i)}" if i % 3 else rng.choice(vocab) for i in range(24)))
+    items = leakage.Items(list(enumerate(texts)), 4)
+    for n, text in enumerate(texts):
+        w = text.split()
+        half = (len(w) + 1) // 2
+        for at in range(len(w) - half + 1):
+            got = {x["item_id"] for x in leakage.leaks_in(" ".join(w[at : at + half]), items, 0.25) if leakage.repeats(x["matched"], x["coverage"])}
+            assert n in got
+
+
 # ---------------------------------------------------------------- 10 keywords
 
 
