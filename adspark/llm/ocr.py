@@ -176,10 +176,8 @@ def _needed(line: str, scanned: Counter, wanted: Counter) -> str:
 def line_features(lines: list[str], i: int, source: str, know: Knowledge, witness: tuple[Counter, Counter] | None) -> list[str]:
     """`witness`: counts of the scan's and of the corrected text's words, None without a text that speaks of the same."""
     line = lines[i].strip()
-    key = letters(line)
-    own = know.titles.get(source or "", ())
-    core = PAGE_WORDS.sub("", key)
-    titled = bool(core) and (core in own or any(abs(len(t) - len(core)) <= 2 and _close(t, core) for t in own))
+    core = PAGE_WORDS.sub("", letters(line))
+    titled = _titled(core, know.titles.get(source or "", ()))
     ws = core.split()
     ends = bool(ws) and len(ws) <= 6 and ws[-1] in know.ends
     where = "only" if len(lines) == 1 else "first" if i == 0 else "last" if i == len(lines) - 1 else "mid"
@@ -190,6 +188,11 @@ def line_features(lines: list[str], i: int, source: str, know: Knowledge, witnes
     return ["b", "t" + str(titled), "e" + str(ends), "p" + where, "s" + seen, "c" + str(carried), "h" + sh, f"n{min(n, 6)}", f"t{titled}{where}", f"e{ends}{seen}", f"h{sh}{where}", f"s{seen}{carried}n{min(n, 4)}", f"h{sh}s{seen}", f"t{titled}{seen}{n <= 6}"]
 
 
+def _titled(core: str, own: Iterable[str]) -> bool:
+    """Whether a line's letters are a known title, or one misread in a place or two."""
+    return bool(core) and (core in own or any(abs(len(t) - len(core)) <= 2 and _close(t, core) for t in own))
+
+
 def _carried(lines: list[str], i: int) -> bool:
     """Whether the line may end a word broken on the line before it, or before a short line between."""
     if i and broken(lines[i - 1]):
@@ -357,14 +360,16 @@ class Page:
             return "", []
         listed, seen, compounds = self.witness(text)
         know = self.know
+        own = know.titles.get(source or "", ())
         lines = [x for x in scan.split("\n") if x.strip()]
         found: dict[tuple[str, str], None] = {}
         kept: list[str] = []
         spoken = [TOKEN.findall(plain(x)) for x in lines]
         near: tuple[Counter, Counter] | None | bool = False  # not yet known
         for i, line in enumerate(lines):
-            # Longer lines most of whose words the corrected text holds are no furniture; most lines end here.
-            if seen and len(line) > 20 and 2 * sum(w in seen for w in spoken[i]) > len(spoken[i]) and not title_of(line.strip()):
+            # Longer lines inside the page most of whose words the corrected text holds are no furniture, unless they look like
+            # a title, which may have leaked into that text; most lines end here.
+            if seen and 0 < i < len(lines) - 1 and len(line) > 20 and 2 * sum(w in seen for w in spoken[i]) > len(spoken[i]) and not title_of(line.strip()) and not _titled(PAGE_WORDS.sub("", letters(line)), own):
                 kept.append(line)
                 continue
             if near is False:

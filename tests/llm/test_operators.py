@@ -162,6 +162,18 @@ def test_scans(spark):
     assert ocr.repair(ads.limit(0)).count() == 0
 
 
+def test_titles_and_outer_lines_are_judged_though_the_corrected_text_holds_them():
+    title = "wiener allgemeine zeitung"
+    body = ["tüchtige Köchin wird in ein gutes Haus gesucht", "auch eine Magd für die Küche und den Keller"]
+    page = ocr.Page(ocr.Knowledge({}, {}, {"n": {title}}))
+    page.lines.w = {"tTrue": 1.0}
+    for at in range(3):
+        lines = [*body[:at], "Wiener Allgemeine Zeitung", *body[at:]]
+        assert page.repair("\n".join(lines), " ".join(lines), "n")[1] == [("furniture", "Wiener Allgemeine Zeitung")]
+    page.lines.w = {"pfirst": 1.0}
+    assert ("furniture", body[0]) in page.repair("\n".join(body), " ".join(body), "n")[1]
+
+
 def test_operations_rebuild_the_word():
     rng = random.Random(5)
     for _ in range(300):
