@@ -78,8 +78,7 @@ def measure(docs: DataFrame, key: str, text: str) -> DataFrame:
                 s = run_share(w)
                 n.append(len(w))
                 share.append(s)
-                # Without a run that comes twice no sentence of four words does either.
-                sent.append(sentence_share(t) if s else 0.0)
+                sent.append(sentence_share(t) if t else 0.0)
                 excess.append(1 - len(set(w)) / len(w) if w else 0.0)
             yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(n, pa.int32()), pa.array(share, pa.float64()), pa.array(sent, pa.float64()), pa.array(excess, pa.float64())], names=["k", "n_words", "run_share", "sentence_share", "excess"])
 

@@ -124,6 +124,12 @@ def test_run_share_matches_brute_force():
         assert repetition.run_share(w) == pytest.approx(brute_share(w))
 
 
+def test_short_sentences_that_come_again_are_measured(spark):
+    docs = spark.createDataFrame([("a", "Koch gesucht\nMagd gut\nKoch gesucht\nKind und Kegel sind hier"), ("b", None), ("c", "")], "ad_id string, text string")
+    got = {r.ad_id: r for r in repetition.repetition(docs).collect()}
+    assert got["a"].run_share == 0 and got["a"].sentence_share == pytest.approx(12 / (12 + 8 + 12 + 24)) and got["b"].sentence_share == got["c"].sentence_share == 0
+
+
 def test_repetition(spark):
     clean = [(f"c{i}", " ".join(f"w{i}x{j}" for j in range(20)), "x") for i in range(40)]
     spam = [(f"s{i}", "Der Koch sucht eine gute Stelle. " * 5, "x") for i in range(8)]
