@@ -104,6 +104,14 @@ def test_truth_discovery_prefers_reliable_sources(spark):
     assert {r["cluster"]: r["value"] for r in won.collect()}["z"] == 1
 
 
+def test_truth_discovery_does_not_stop_silently_before_it_converges(spark):
+    c = [(f"c{i}", 0, 1, s, 1) for i in range(9) for s in ("g", "h")] + [(f"c{i}", 0, 2, "b", 1) for i in range(9)]
+    df = spark.createDataFrame(c, "cluster string, field int, value long, source string, n long")
+    with pytest.raises(RuntimeError, match="not converged after 1 rounds"):
+        survivor.discover(df, rounds=1)
+    assert {r["value"] for r in survivor.discover(df).collect()} == {1}
+
+
 # ---------------------------------------------------------------- 4 repetition
 
 
