@@ -8,7 +8,7 @@ import tempfile
 from typing import Any
 
 from pyspark import Broadcast, SparkContext, cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -67,6 +67,19 @@ def bounded_rows(df: DataFrame, bound: int, what: str) -> list:
     return rows
 
 
+def bounded_bytes(rows: list, most: int, what: str) -> list:
+    """The rows of a reference table whose strings together prove small enough to be sent to every task; else an error."""
+    size = sum(len(v.encode()) if isinstance(v, str) else 8 for r in rows for v in r)
+    if size > most:
+        raise ValueError(f"{what} holds {size} bytes, more than {most}; it is no reference table")
+    return rows
+
+
+def hash_below(key: Column | str, share: float) -> Column:
+    """Whether a key's 64-bit hash lies in the lowest `share` of all hashes: a repeatable sample that stays whole at any size."""
+    return F.xxhash64(key) < F.lit(min(2**63 - 1, -(2**63) + int(share * 2**64)))
+
+
 def once(df: DataFrame, *keys: str) -> DataFrame:
     """One row per key (rows delivered twice are equal in all columns that matter); NULL keys form one group."""
     return df.dropDuplicates(list(keys))
