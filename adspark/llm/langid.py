@@ -1,7 +1,7 @@
 """Language of every document and of every stretch in another language (problem 2).
 
-A linear-chain conditional random field labels the words of a text. A word's features are its form (the lexicon), its
-affixes and its letter n-grams; transitions are learned separately for neighbours inside a sentence and across a sentence
+A linear-chain conditional random field labels the words of a text. A word's features are its form, its affixes, its letter
+n-grams and its entry in a lexicon of words that belong to one language, drawn from the sample; transitions are learned separately for neighbours inside a sentence and across a sentence
 end. Forward-backward gives every word a distribution over languages; a sentence takes the language of largest summed
 probability, neighbouring sentences of one language form a stretch, and a stretch's confidence is its words' mean
 probability.
@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adspark.runtime import Shared, bounded_rows
+from adspark.runtime import Shared, bounded_rows, hash_below
 
 LANGUAGES = ("de", "fr", "it", "en", "cs")
 # Notations of the languages (two- and three-letter codes and names); a region or script may follow.
@@ -66,9 +66,11 @@ def tokens(text: str) -> tuple[list[str], list[bool]]:
     return words, first
 
 
-def features(word: str) -> list[str]:
+def features(word: str, lexicon: dict[str, int] | None = None) -> list[str]:
     p = f"^{word}$"
     out = ["w=" + word]
+    if lexicon and word in lexicon:
+        out.append(f"lex={LANGUAGES[lexicon[word]]}")
     out += ["p" + p[:n] for n in (2, 3, 4) if n < len(p)]
     out += ["s" + p[-n:] for n in (2, 3, 4, 5) if n < len(p)]
     out += ["g" + p[i : i + 3] for i in range(len(p) - 2)]
@@ -78,8 +80,8 @@ def features(word: str) -> list[str]:
 class Field:
     """A fitted field: feature weights and transitions (inside a sentence, across its end)."""
 
-    def __init__(self, weights: dict[str, np.ndarray], inside: np.ndarray, across: np.ndarray, start: np.ndarray):
-        self.weights, self.inside, self.across, self.start = weights, inside, across, start
+    def __init__(self, weights: dict[str, np.ndarray], inside: np.ndarray, across: np.ndarray, start: np.ndarray, lexicon: dict[str, int]):
+        self.weights, self.inside, self.across, self.start, self.lexicon = weights, inside, across, start, lexicon
         self.cache: dict[str, np.ndarray] = {}
 
     def emission(self, word: str) -> np.ndarray:
@@ -88,7 +90,7 @@ class Field:
             if len(self.cache) > 400_000:
                 self.cache.clear()
             e = np.zeros(K)
-            for f in features(word):
+            for f in features(word, self.lexicon):
                 w = self.weights.get(f)
                 if w is not None:
                     e = e + w
@@ -181,6 +183,21 @@ def believe(texts: list[tuple[str, str]], rounds: int = 3) -> list[list[tuple[li
     return docs
 
 
+def lexicon_of(docs: list[list[tuple[list[str], int]]], least: int = 3, purity: float = 0.9) -> dict[str, int]:
+    """Words that stand at least `least` times in sentences of one language, and hardly in those of another."""
+    seen: dict[str, Counter] = defaultdict(Counter)
+    for d in docs:
+        for s, c in d:
+            for w in s:
+                seen[w][c] += 1
+    out = {}
+    for w, n in seen.items():
+        c, most = max(n.items(), key=lambda x: (x[1], -x[0]))
+        if most >= least and most >= purity * n.total():
+            out[w] = c
+    return out
+
+
 def compose(docs: list[list[tuple[list[str], int]]], n: int, rng: np.random.Generator) -> list[tuple[list[str], list[bool], list[int]]]:
     """Training sequences from stretches of successive sentences of one text and language: half of them mixed."""
     by: dict[int, list[list[list[str]]]] = defaultdict(list)
@@ -200,9 +217,9 @@ def compose(docs: list[list[tuple[list[str], int]]], n: int, rng: np.random.Gene
             run = by[c][int(rng.integers(len(by[c])))]
             at = int(rng.integers(len(run)))
             for s in run[at : at + int(rng.integers(1, 5))]:
-                words += s[:80]
-                first += [True] + [False] * (len(s[:80]) - 1)
-                labels += [c] * len(s[:80])
+                words += s
+                first += [True] + [False] * (len(s) - 1)
+                labels += [c] * len(s)
         if words:
             out.append((words, first, labels))
     return out
@@ -211,7 +228,9 @@ def compose(docs: list[list[tuple[list[str], int]]], n: int, rng: np.random.Gene
 def fit(texts: list[tuple[str, str]], sequences: int = 4000, epochs: int = 4, rate: float = 0.08, l2: float = 1e-5, seed: int = 7) -> Field:
     """Maximise the conditional likelihood of composed sequences with Adam; repeatable for the same texts in any order."""
     rng = np.random.default_rng(seed)
-    data = compose(believe(sorted(texts)), sequences, rng)
+    believed = believe(sorted(texts))
+    lexicon = lexicon_of(believed)
+    data = compose(believed, sequences, rng)
     vocab: dict[str, int] = {}
     ids: dict[str, int] = {}
     rows: list[int] = []
@@ -220,7 +239,7 @@ def fit(texts: list[tuple[str, str]], sequences: int = 4000, epochs: int = 4, ra
         for w in words:
             if w not in vocab:
                 vocab[w] = len(vocab)
-                for f in features(w):
+                for f in features(w, lexicon):
                     rows.append(vocab[w])
                     cols.append(ids.setdefault(f, len(ids)))
     r, c = np.array(rows, np.int64), np.array(cols, np.int64)
@@ -272,7 +291,7 @@ def fit(texts: list[tuple[str, str]], sequences: int = 4000, epochs: int = 4, ra
                 m2 += 0.001 * d * d
                 v += rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
     weights = {f: params["w"][i] for f, i in ids.items()}
-    return Field(weights, params["in"], params["ac"], params["st"])
+    return Field(weights, params["in"], params["ac"], params["st"], lexicon)
 
 
 def code(lang):
@@ -282,12 +301,12 @@ def code(lang):
 
 
 def sample(docs: DataFrame, text: str, lang: str, key: str, per_language: int) -> list[tuple[str, str]]:
-    """At most about `per_language` labelled texts of each language, those of smallest hash: the only rows that reach the driver."""
-    labelled = docs.select(F.substring(text, 1, 2000).alias("t"), code(F.col(lang)).alias("c"), F.pmod(F.xxhash64(key), F.lit(1_000_000)).alias("h")).where("c is not null and length(t) >= 40")
+    """About `per_language` whole labelled texts of each language, those of smallest hash: the only rows that reach the driver."""
+    labelled = docs.select(F.col(text).alias("t"), code(F.col(lang)).alias("c"), F.col(key).alias("k")).where("c is not null and length(t) >= 40")
     sizes = {r["c"]: r["n"] for r in labelled.groupBy("c").agg(F.count("*").alias("n")).collect()}  # five rows at most
     keep = F.lit(False)
     for c, n in sizes.items():
-        keep = keep | ((F.col("c") == c) & (F.col("h") < int(1_000_000 * min(1.0, per_language / n))))
+        keep = keep | ((F.col("c") == c) & hash_below("k", min(1.0, per_language / n)))
     got = bounded_rows(labelled.where(keep).select("t", "c"), 4 * per_language * K + 1000, "the training sample")
     return [(r["t"], r["c"]) for r in got]
 

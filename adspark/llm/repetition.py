@@ -158,9 +158,7 @@ def repetition(docs: DataFrame, key: str = "ad_id", text: str = "text", flags: D
     return v.withColumn("probability", F.try_element_at(lookup, name))
 
 
-def found(docs: DataFrame, key: str = "ad_id", text: str = "text", flags: DataFrame | None = None, share: float = 0.3, candidate: float = 0.05) -> DataFrame:
-    """Documents whose posterior makes them candidates and whose measured run share confirms it."""
+def found(docs: DataFrame, key: str = "ad_id", text: str = "text", flags: DataFrame | None = None, share: float = 0.3, least: float = 0.5) -> DataFrame:
+    """Documents that the rules, weighed by their estimated accuracy, hold for repeated, checked exactly by the measured run share."""
     r = repetition(docs, key, text, flags)
-    return r.where((F.col("probability") >= candidate) & (F.col("run_share") >= share) & F.col(key).isNotNull()).select(key)
-
-
+    return r.where((F.col("probability") >= least) & (F.col("run_share") >= share) & F.col(key).isNotNull()).select(key)

@@ -5,8 +5,8 @@ Steps, none of which brings an unbounded set into one task or to the driver:
 1. tokenize every record once per term it holds, weighted by the record's count;
 2. pre-aggregate within blocks (one block per scan partition), so that a term that a third of all records hold shrinks to
    one row per block before anything is shuffled by term;
-3. build the global integer dictionary: terms are hashed to buckets, numbered inside their bucket, and the buckets' sizes
-   (a fixed number of rows) give each bucket its offset, so identifiers are dense and repeatable;
+3. build the global integer dictionary: terms are hashed to buckets of about `per_bucket` terms, numbered inside their bucket,
+   and the buckets' sizes give each bucket its offset, so identifiers are dense and repeatable;
 4. encode the blocks' terms and lay them out as arrays of `width` consecutive identifiers: one count array for occurrences
    and one for record presence for each (block, identifier range);
 5. add the arrays up by identifier range, position by position, and decode through the dictionary.
@@ -33,14 +33,19 @@ def record_terms(text: Column) -> Column:
     return F.coalesce(F.array_distinct(F.regexp_extract_all(plain, F.lit(LETTERS), F.lit(0))), F.array())
 
 
-def dictionary(terms: DataFrame, buckets: int = 512) -> DataFrame:
-    """(field, term) -> term_no: dense identifiers from 0, the same for the same set of terms. One shuffle by bucket."""
-    distinct = terms.select("field", "term").distinct().withColumn("_b", F.pmod(F.xxhash64("field", "term"), F.lit(buckets)).cast("int"))
+def dictionary(terms: DataFrame, per_bucket: int = 20_000) -> DataFrame:
+    """(field, term) -> term_no: dense identifiers from 0, the same for the same set of terms. One shuffle by bucket.
+
+    The number of buckets follows the number of terms, so numbering has as many tasks as the vocabulary needs.
+    """
+    distinct = cut(terms.select("field", "term").distinct())
+    buckets = max(1, -(-distinct.count() // per_bucket))
+    distinct = distinct.withColumn("_b", F.pmod(F.xxhash64("field", "term"), F.lit(buckets)).cast("int"))
     numbered = distinct.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("field", "term")) - 1)
     sizes = distinct.groupBy("_b").agg(F.count("*").alias("_n"))
-    # At most `buckets` rows: the window over all of them and the broadcast are bounded by that parameter.
+    # One row per `per_bucket` terms: the window over all of them is short, and Spark broadcasts them only if they measure small.
     start = sizes.withColumn("_s", F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).select("_b", "_s")
-    return numbered.join(F.broadcast(start), "_b").select("field", "term", (F.col("_s") + F.col("_r")).cast("long").alias("term_no"))
+    return numbered.join(start, "_b").select("field", "term", (F.col("_s") + F.col("_r")).cast("long").alias("term_no"))
 
 
 def _block_arrays(width: int):
