@@ -152,8 +152,11 @@ def forward_backward(e: np.ndarray, b: np.ndarray, length: np.ndarray, inside: n
     return m / np.maximum(m.sum(2, keepdims=True), 1e-300), xin, xac
 
 
-def believe(texts: list[tuple[str, str]], rounds: int = 3) -> list[list[tuple[list[str], int]]]:
-    """Per text its sentences with a language each: naive Bayes over features, started from the texts' labels."""
+def believe(texts: list[tuple[str, str]], rounds: int = 3, stay: float = 4.0) -> list[list[tuple[list[str], int]]]:
+    """Per text its sentences with a language each: naive Bayes over features, started from the texts' labels.
+
+    A sentence is `stay` (a logarithm of odds) likelier in the language of the whole text than in another one.
+    """
     docs: list[list[tuple[list[str], int]]] = []
     for text, code in texts:
         words, first = tokens(text)
@@ -172,10 +175,11 @@ def believe(texts: list[tuple[str, str]], rounds: int = 3) -> list[list[tuple[li
         for d in docs:
             of = [sum((memo[w] for w in s), np.zeros(K)) for s, _ in d]
             whole = int(sum(of, np.zeros(K)).argmax())
+            own = stay * (np.arange(K) == whole)
             # Short sentences ("Lohn 71 fl.") take the language of the sentence before them, at the start that of the text.
             row: list[tuple[list[str], int]] = []
             for (s, _), lp in zip(d, of, strict=True):
-                row.append((s, int(lp.argmax()) if len(s) >= 5 else row[-1][1] if row else whole))
+                row.append((s, int((lp + own).argmax()) if len(s) >= 5 else row[-1][1] if row else whole))
             new.append(row)
         if new == docs:
             break
