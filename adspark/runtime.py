@@ -75,6 +75,16 @@ def bounded_bytes(rows: list, most: int, what: str) -> list:
     return rows
 
 
+def spread(df: DataFrame, bytes_per_core: int = 32 << 20) -> DataFrame:
+    """The rows of a small table that comes in fewer files than there are cores, dealt out to all cores; larger ones as they are.
+
+    For passes that cost much more than moving the rows. What may be moved is bounded by `bytes_per_core`.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * bytes_per_core and 0 < len(df.inputFiles()) < cores else df
+
+
 def hash_below(key: Column | str, share: float) -> Column:
     """Whether a key's 64-bit hash lies in the lowest `share` of all hashes: a repeatable sample that stays whole at any size."""
     return F.xxhash64(key) < F.lit(min(2**63 - 1, -(2**63) + int(share * 2**64)))
