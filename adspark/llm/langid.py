@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adspark.runtime import Shared, bounded_rows, hash_below
+from adspark.runtime import Shared, bounded_rows, hash_below, spread
 
 LANGUAGES = ("de", "fr", "it", "en", "cs")
 # Notations of the languages (two- and three-letter codes and names); a region or script may follow.
@@ -362,7 +362,7 @@ def languages(docs: DataFrame, key: str = "ad_id", text: str = "text_norm", lang
     shared = Shared(docs.sparkSession, field)
     src = docs.select(F.col(key).alias("k"), code(F.col(lang)).alias("c"), F.col(text).alias("t"))
     kind = src.schema["k"].dataType.simpleString()
-    out = src.mapInArrow(_decoder(shared), f"k {kind}, c string, n_words int, segments {SEGMENTS}")
+    out = spread(src).mapInArrow(_decoder(shared), f"k {kind}, c string, n_words int, segments {SEGMENTS}")
     one = out.groupBy("k").agg(F.max(F.struct("segments", "c", "n_words")).alias("x"))
     return one.select(F.col("k").alias(key), F.col("x.c").alias("label_code"), F.col("x.n_words").alias("n_words"), F.col("x.segments").alias("segments"))
 

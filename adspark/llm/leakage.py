@@ -13,8 +13,12 @@ and the item have in common, nor more than their longest common subsequence, so
 both bounds is aligned, wherever its words stand.
 
 A document that may repeat an item is aligned with it, word by word: a local alignment finds the stretch in which the item's
-words follow in order. Words match if they are equal after folding or within the edits of a misreading. The slots inside the stretch are compared too: `slots_equal` tells how many numbers, units and
-names agree, and `renamed` whether all that differ are replaced one for one, which marks a re-parameterised question.
+words follow in order. Words match if they are equal after folding or within the edits of a misreading. The slots inside the
+stretch are checked for consistency: `slots_equal` tells how many numbers, units and names agree, and `renamed` how many
+words of the item stand in slots that are filled anew in one consistent way, as in a re-parameterised question: one value
+always became the same other one, no two became the same, and a name counts only if its change is confirmed by a second
+place, since any other content word would pass for a name. Such words count as repeated where the rest of the stretch is the
+item's template word for word; so a question asked again with other numbers is found, other sentences on its subject are not.
 """
 
 from __future__ import annotations
@@ -31,13 +35,14 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adspark.runtime import Shared, bounded_rows
+from adspark.runtime import Shared, bounded_rows, spread
 
 HYPHEN = regex.compile(r"(?<=\p{L})[-⸗¬=]\s*\n\s*(?=\p{L})")
 PAGE_LINE = regex.compile(r"^[\s\p{P}\p{S}]*(?:\p{N}{1,4}|(?:seite|nr|pag|page|pagina|strana)\.?\s*\p{N}{1,4})[\s\p{P}\p{S}]*$", regex.I | regex.M)
 WORD = regex.compile(r"[\p{L}\p{M}]+|\p{N}+")
 # What counts as repeated: a stretch over this part of an item, with this part of its words agreeing.
 HALF, DENSE = 0.5, 0.72
+TEMPLATE = 0.9  # part of the words outside slots that must be the item's where slots are filled anew
 MISS, GAP = 0.5, 0.4  # what a changed word and a missing or added one cost an alignment
 SLOT = {"number": "\x01", "unit": "\x02", "name": "\x03"}
 # Words for units of measure, money and time, as folded by fold().
@@ -198,7 +203,7 @@ def common(hits: list[tuple[int, int]], size: int) -> int:
 
 
 def repeats(matched: float, coverage: float) -> bool:
-    """Whether a stretch is repeated in the sense of `found`."""
+    """Whether a stretch is repeated in the sense of `found`, slots filled anew aside."""
     return coverage >= HALF and (matched >= HALF or matched >= DENSE * coverage)
 
 
@@ -299,21 +304,48 @@ def leaks_in(text: str, items: Items, least: float) -> list[dict]:
         if span < least * size:
             continue
         folded = items.folded[n]
-        slots = [(folded[p], fold(ws[lo + q])) for p, q in pairs if items.template(folded[p]) in SLOT.values()]
-        same = sum(items.known(b) == a for a, b in slots)
-        differ = {(a, b) for a, b in slots if items.known(b) != a}
-        renamed = bool(differ) and len({a for a, _ in differ}) == len(differ)
-        out.append({"item_id": int(items.ids[n]), "coverage": span / size, "matched": matched / size, "first_word": first, "last_word": last, "slots_equal": same / len(slots) if slots else 1.0, "renamed": renamed})
+        equal, slots, renamed = refilled(items, folded, [items.known(fold(w)) for w in ws[lo + pairs[0][1] : lo + pairs[-1][1] + 1]], pairs)
+        out.append({"item_id": int(items.ids[n]), "coverage": span / size, "matched": matched / size, "first_word": first, "last_word": last, "slots_equal": equal / slots if slots else 1.0, "renamed": renamed / size})
     return out
 
 
-LEAK = "item_id bigint, coverage double, matched double, first_word int, last_word int, slots_equal double, renamed boolean"
+def refilled(items: Items, item: list[str], doc: list[str], pairs: list[tuple[int, int]]) -> tuple[int, int, int]:
+    """Equal slots, all slots, and slots consistently filled anew of an alignment; `doc` holds the stretch's words only.
+
+    None is filled anew unless nearly all words outside the slots (TEMPLATE) are the item's.
+    """
+    first = pairs[0][1]
+    equal = slots = fixed = kept = 0
+    changed: Counter = Counter()
+    became: dict[str, set[str]] = defaultdict(set)
+    was: dict[str, set[str]] = defaultdict(set)
+    for p, q in pairs:
+        a, b = item[p], doc[q - first]
+        t = items.template(a)
+        if t not in SLOT.values():
+            fixed += 1
+            kept += a == b
+            continue
+        slots += 1
+        equal += a == b
+        if t == items.template(b):
+            changed[a, b] += a != b
+            became[a].add(b)
+            was[b].add(a)
+    if kept < TEMPLATE * fixed or fixed < 2:
+        return equal, slots, 0
+    ok = [n for (a, b), n in changed.items() if n and len(became[a]) == len(was[b]) == 1 and (n > 1 or items.template(a) != SLOT["name"])]
+    return equal, slots, sum(ok)
+
+
+LEAK = "item_id bigint, coverage double, matched double, first_word int, last_word int, slots_equal double, renamed double"
 
 
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", window: int = 4, least: float = 0.25, bound: int = 100_000) -> DataFrame:
     """One row per (document, item) that share a stretch of at least `least` of the item's words.
 
-    `coverage` is the part of the item from its first to its last aligned word, `matched` the part whose words really agree.
+    `coverage` is the part of the item from its first to its last aligned word, `matched` the part whose words really agree,
+    `renamed` the part whose slots are consistently filled anew.
     Documents or items delivered twice count once (a repeated half, then the fullest match holds). NULL and empty texts have no leaks, NULL items
     are skipped; very long texts are searched whole; ties between places go to the earlier one. Extra columns are ignored.
     Empty tables give no rows. More than `bound` items raise: the build side must fit every task.
@@ -323,7 +355,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     src = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     kind = src.schema["k"].dataType.simpleString()
     names = [c.split()[0] for c in LEAK.split(", ")]
-    types = [pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.int32(), pa.float64(), pa.bool_()]
+    types = [pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.int32(), pa.float64(), pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         its = shared.value
@@ -337,18 +369,20 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
             yield pa.RecordBatch.from_arrays([keys, *[pa.array([f[c] for f in found], ty) for c, ty in zip(names, types, strict=True)]], names=["k", *names])
 
     fullest = F.struct(_repeated().alias("repeated"), "matched", "coverage", "first_word", "last_word", "slots_equal", "renamed")
-    out = src.mapInArrow(run, f"k {kind}, {LEAK}").groupBy("k", "item_id").agg(F.max(fullest).alias("x"))
+    out = spread(src).mapInArrow(run, f"k {kind}, {LEAK}").groupBy("k", "item_id").agg(F.max(fullest).alias("x"))
     return out.select(F.col("k").alias(key), "item_id", "x.*").drop("repeated")
 
 
 def _repeated(half: float = HALF, dense: float = DENSE) -> Column:
-    return (F.col("coverage") >= half) & ((F.col("matched") >= half) | (F.col("matched") >= F.lit(dense) * F.col("coverage")))
+    agree = F.col("matched") + F.col("renamed")
+    return (F.col("coverage") >= half) & ((agree >= half) | (agree >= F.lit(dense) * F.col("coverage")))
 
 
 def found(leaked: DataFrame, key: str = "doc_id", half: float = HALF, dense: float = DENSE) -> DataFrame:
     """(key, item_id): the document repeats at least half of the item's words in order and in one stretch.
 
-    Single changed, missing or misread words do not count against a stretch: it also holds if it reaches over half of the item
-    and at least `dense` of its words agree, as they do not in other sentences on the same subject.
+    Single changed, missing or misread words do not count against a stretch, and slots that are consistently filled anew are
+    repeated words: it also holds if it reaches over half of the item and at least `dense` of its words agree, as they do not
+    in other sentences on the same subject.
     """
     return leaked.where(_repeated(half, dense) & F.col(key).isNotNull()).select(key, "item_id")

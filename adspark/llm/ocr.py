@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adspark.runtime import Shared, bounded_rows, cut
+from adspark.runtime import Shared, bounded_rows, cut, spread
 
 MARKS = "-⸗¬=‐‑­"
 # Conjunctions of the five languages, before which a hyphen stands for the rest of a compound.
@@ -115,7 +115,7 @@ def counts(ads: DataFrame, text: str, scan: str, source: str) -> DataFrame:
             yield flush()
 
     src = ads.select(F.col(text).alias("t"), F.col(scan).alias("s"), F.col(source).alias("src"))
-    return src.mapInArrow(run, "kind string, a string, b string, n bigint").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
+    return spread(src).mapInArrow(run, "kind string, a string, b string, n bigint").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
 
 
 class Perceptron:
@@ -557,7 +557,7 @@ def repair(ads: DataFrame, key: str = "ad_id", text: str = "text", scan: str = "
                 items.append([{"kind": x, "item": y} for x, y in found])
             yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(texts, pa.string()), pa.array(items, kind)], names=["k", "repaired", "items"])
 
-    return src.mapInArrow(run, f"k {key_kind}, repaired string, items array<struct<kind:string,item:string>>").withColumnRenamed("k", key)
+    return spread(src).mapInArrow(run, f"k {key_kind}, repaired string, items array<struct<kind:string,item:string>>").withColumnRenamed("k", key)
 
 
 def found(repaired: DataFrame, key: str = "ad_id") -> DataFrame:

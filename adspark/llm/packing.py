@@ -30,7 +30,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adspark.runtime import cut
+from adspark.runtime import cut, spread
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -78,7 +78,7 @@ def count_tokens(docs: DataFrame, key: str, text: str, folder: str = TOKENIZERS,
             n = [count(x) if x else 0 for x in b.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(n, pa.int64())], names=["k", "n_tokens"])
 
-    return src.mapInArrow(run, f"k {kind}, n_tokens bigint").withColumnRenamed("k", key)
+    return spread(src).mapInArrow(run, f"k {kind}, n_tokens bigint").withColumnRenamed("k", key)
 
 
 def pieces(sized: DataFrame, key: str, capacity: int = CAPACITY) -> DataFrame:

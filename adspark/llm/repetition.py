@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adspark.runtime import bounded_rows, cut
+from adspark.runtime import bounded_rows, cut, spread
 
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 SENTENCE_END = regex.compile(r"[.!?]\s+|\n")
@@ -82,7 +82,7 @@ def measure(docs: DataFrame, key: str, text: str) -> DataFrame:
                 excess.append(1 - len(set(w)) / len(w) if w else 0.0)
             yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(n, pa.int32()), pa.array(share, pa.float64()), pa.array(sent, pa.float64()), pa.array(excess, pa.float64())], names=["k", "n_words", "run_share", "sentence_share", "excess"])
 
-    return src.mapInArrow(run, f"k {kind}, n_words int, run_share double, sentence_share double, excess double").withColumnRenamed("k", key)
+    return spread(src).mapInArrow(run, f"k {kind}, n_words int, run_share double, sentence_share double, excess double").withColumnRenamed("k", key)
 
 
 # The rules. Each votes 'repeated' above its upper bound, 'clean' below its lower one and abstains between.
