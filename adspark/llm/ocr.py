@@ -7,10 +7,9 @@ operations of a page:
   newspaper's known titles and whether the corrected text holds its words;
 * line ends: keep the hyphen, or delete it and join the lines, from the marks, the neighbours and how often the joined and
   the hyphenated word occur in the collection;
-* characters: for words that the collection or the corrected text does not vouch for, the sequence of keep, replace, delete
-  and insert operations that leads to each candidate word is scored by its operations in context, and the best sequence
-  wins against leaving the word alone. Candidates are the corrected text's words that the scan lacks and the lexicon's words
-  that the learned operations lead to.
+* characters: at every letter of every word keep, replace, delete or insert; a sequence of operations is scored by its
+  operations in context and by the word it leads to, one that the corrected text has and the scan lacks or one of the lexicon,
+  and the best sequence wins against keeping all letters.
 
 The corrected text is a second witness where there is one; the models are trained with it withheld from a third of the
 sample, so that ads without one are judged by lexicon and operations alone. Word and title counts cover all ads.
@@ -18,10 +17,12 @@ sample, so that ads without one are judged by lexicon and operations alone. Word
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -30,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adspark.runtime import Shared, bounded_rows, cut, spread
+from adspark.runtime import Shared, bounded_rows, cut, hash_below, spread
 
 MARKS = "-⸗¬=‐‑­"
 # Conjunctions of the five languages, before which a hyphen stands for the rest of a compound.
@@ -39,11 +40,11 @@ BREAK = regex.compile(rf"([\p{{L}}\p{{M}}\p{{N}}]+)([{regex.escape(MARKS)}])\s*$
 HEAD = regex.compile(r"^\s*([\p{L}\p{M}\p{N}]+)")
 TOKEN = re.compile(r"[^\W\d_][^\W_]*|\d+[^\W\d_][^\W_]*")  # composed text; the standard module is much the faster one
 NUMBER = re.compile(r"\d+")
+EACH = re.compile(r"[^\W\d_][^\W_]*|\d+(?:[^\W\d_][^\W_]*)?")
 COMPOUND = regex.compile(rf"([\p{{L}}\p{{M}}]+)-(?=([\p{{L}}\p{{M}}]+))")
 LEFT_BREAK = regex.compile(rf"(?<=[\p{{L}}])[{regex.escape(MARKS)}]\s+(?!(?:{'|'.join(sorted(CONJUNCTIONS))})\b)(?=\p{{Ll}})")
 TITLED = regex.compile(r"^(?:(?:Nr|No)\.?\s*)?\p{N}+\.?\s{1,}(?P<a>\p{L}.*?)(?:\s+(?:vom|den|am)\s+[\p{N}.\s]+)?$|^(?P<b>\p{L}.*?)\s{2,}(?:\p{L}+\.?\s+)?\p{N}+\.?$")
 MARGIN = 2.0  # a perceptron is updated until the right answer leads by this much
-BLANKS = regex.compile(r"\s{2,}")
 
 
 def plain(s: str) -> str:
@@ -59,8 +60,7 @@ def unbroken(p: str) -> str:
 
 NO_LETTERS = re.compile(r"[\W\d_]+")
 PAGE_WORDS = re.compile(r"^(?:nr|no|seite|page|pag|strana)\s+|\s+(?:vom|seite|page|pag|strana|nr|no)$")
-ANY_WORD = re.compile(r"[^\W\d_]+")
-ANY_BLANKS = re.compile(r"\s{2,}")
+SHAPE = re.compile(r"\d+|[^\W\d_]+|\s{2,}")
 
 
 def letters(s: str) -> str:
@@ -70,7 +70,7 @@ def letters(s: str) -> str:
 def broken(line: str):
     """The match of a word broken at the line's end, or None."""
     end = line.rstrip()
-    return BREAK.search(end) if end and end[-1] in MARKS else None
+    return BREAK.search(end[end.rfind(" ") + 1 :]) if end and end[-1] in MARKS else None
 
 
 def title_of(line: str) -> str | None:
@@ -147,6 +147,23 @@ class Knowledge:
         self.words, self.hyphened, self.titles = words, hyphened, titles
         ends = Counter(t.split()[-1] for ts in titles.values() for t in ts)
         self.ends = frozenset(ends)
+        self.sorted = sorted(words)
+        self.longest = {s: max(map(len, ts)) for s, ts in titles.items() if ts}
+
+    def title(self, source: str, line: str, words: list[str]) -> tuple[bool, bool]:
+        """Whether a line is a title of the source, and whether a short line ends like one."""
+        # A line with more letters than a title, two misread ones and the page words around it can have is none.
+        long = sum(map(len, words)) > self.longest.get(source or "", 0) + 30
+        if long and (len(words) > 10 or not any(w in self.ends for w in words[-3:])):
+            return False, False
+        core = PAGE_WORDS.sub("", letters(line))
+        ws = core.split()
+        return _titled(core, self.titles.get(source or "", ())), bool(ws) and len(ws) <= 6 and ws[-1] in self.ends
+
+    def begins(self, prefix: str) -> bool:
+        """Whether a word of the lexicon begins so."""
+        at = bisect_left(self.sorted, prefix)
+        return at < len(self.sorted) and self.sorted[at].startswith(prefix)
 
     def bucket(self, w: str) -> int:
         return min(int(math.log2(self.words.get(w, 0) + 1)), 12)
@@ -154,38 +171,52 @@ class Knowledge:
 
 def shape(line: str) -> str:
     """Figures as 9, capitalised words as A, words in capitals as X, other words as a, blanks as they are in number."""
-    s = NUMBER.sub("9", line)
-    s = ANY_WORD.sub(lambda m: "X" if m[0].isupper() and len(m[0]) > 1 else "A" if m[0][0].isupper() else "a", s)
-    return ANY_BLANKS.sub("__", s)[:24]
+    return SHAPE.sub(_symbol, line)[:24]
+
+
+def _symbol(m: re.Match) -> str:
+    w = m[0]
+    c = w[0]
+    if c.islower():
+        return "a"
+    if c.isalpha():
+        return "X" if len(w) > 1 and w.isupper() else "A" if c.isupper() else "a"
+    return "__" if c.isspace() else "9"
 
 
 def _all_words(s: str) -> list[str]:
-    p = plain(s)
-    return TOKEN.findall(p) + NUMBER.findall(p)
+    """Words and figures, in order."""
+    return EACH.findall(plain(s))
+
 
+class Witness:
+    """What a corrected text that speaks of the same as the scan says about its lines."""
 
-def _needed(line: str, scanned: Counter, wanted: Counter) -> str:
-    """'1' if the corrected text needs a word of this line (it has it as often as the whole scan), 'f' if one like it, else '0'."""
-    ws = _all_words(line)
-    if any(wanted[w] >= scanned[w] for w in ws):
-        return "1"
-    lacking = [t for t, n in wanted.items() if n > scanned[t]]
-    return "f" if any(len(w) >= 4 and abs(len(t) - len(w)) <= 2 and _similar(w, t) for w in ws for t in lacking) else "0"
+    def __init__(self, spoken: list[list[str]], said: list[str]):
+        self.scanned = Counter(itertools.chain.from_iterable(spoken))
+        self.wanted = Counter(said)
+        self.lacking = [(t, len(t)) for t, n in self.wanted.items() if n > self.scanned[t] and len(t) >= 2]
 
+    def needs(self, ws: list[str]) -> str:
+        """'1' if the text needs a word of this line (it has it as often as the whole scan), 'f' if one like it, else '0'."""
+        wanted, scanned = self.wanted, self.scanned
+        for w in ws:
+            if wanted[w] >= scanned[w]:
+                return "1"
+        return "f" if any(len(w) >= 4 and abs(n - len(w)) <= 2 and _similar(w, t) for w in ws for t, n in self.lacking) else "0"
 
-def line_features(lines: list[str], i: int, source: str, know: Knowledge, witness: tuple[Counter, Counter] | None) -> list[str]:
-    """`witness`: counts of the scan's and of the corrected text's words, None without a text that speaks of the same."""
+
+def line_key(lines: list[str], i: int, words: list[str], source: str, know: Knowledge, witness: Witness | None) -> tuple:
+    """What the line model sees of a line. `words`: its words and figures; `witness`: None without a text that speaks of the same."""
     line = lines[i].strip()
-    core = PAGE_WORDS.sub("", letters(line))
-    titled = _titled(core, know.titles.get(source or "", ()))
-    ws = core.split()
-    ends = bool(ws) and len(ws) <= 6 and ws[-1] in know.ends
     where = "only" if len(lines) == 1 else "first" if i == 0 else "last" if i == len(lines) - 1 else "mid"
-    seen = "none" if witness is None else _needed(line, *witness)
-    carried = _carried(lines, i)
-    sh = shape(line)
-    n = len(line.split())
-    return ["b", "t" + str(titled), "e" + str(ends), "p" + where, "s" + seen, "c" + str(carried), "h" + sh, f"n{min(n, 6)}", f"t{titled}{where}", f"e{ends}{seen}", f"h{sh}{where}", f"s{seen}{carried}n{min(n, 4)}", f"h{sh}s{seen}", f"t{titled}{seen}{n <= 6}"]
+    seen = "none" if witness is None else witness.needs(words)
+    return *know.title(source, line, words), where, seen, _carried(lines, i), shape(line), min(len(line.split()), 7)
+
+
+def line_features(key: tuple) -> list[str]:
+    titled, ends, where, seen, carried, sh, n = key
+    return ["b", f"t{titled}", f"e{ends}", f"p{where}", f"s{seen}", f"c{carried}", f"h{sh}", f"n{min(n, 6)}", f"t{titled}{where}", f"e{ends}{seen}", f"h{sh}{where}", f"s{seen}{carried}n{min(n, 4)}", f"h{sh}s{seen}", f"t{titled}{seen}{n <= 6}"]
 
 
 def _titled(core: str, own: Iterable[str]) -> bool:
@@ -200,15 +231,16 @@ def _carried(lines: list[str], i: int) -> bool:
     return i > 1 and len(lines[i - 1]) < 60 and lines[i].strip()[:1].islower() and bool(broken(lines[i - 2]))
 
 
-def _covered(tokens: list[str], seen: set[str]) -> bool:
-    """Whether the corrected text speaks of the same as the scan: it holds most of the scan's words."""
+def _covered(spoken: list[list[str]], seen: set[str]) -> bool:
+    """Whether the corrected text speaks of the same as the scan: it holds most of the words of its lines."""
+    tokens = [w for ws in spoken for w in ws if not w.isdigit()]
     return sum(w in seen for w in tokens) >= 0.75 * len(tokens)
 
 
 def _lacking(listed: list[str], tokens: list[str]) -> list[str]:
     """Words that the corrected text has more often than the scan."""
     own = Counter(tokens)
-    return [t for t, n in Counter(listed).items() if n > own[t]]
+    return [t for t, n in Counter(listed).items() if n > own[t] and not t.isdigit()]
 
 
 def _close(a: str, b: str) -> bool:
@@ -278,12 +310,32 @@ def operations(a: str, b: str) -> list[tuple[str, str, str]]:
 
 
 class Editor:
-    """Scores what a word may have been; `moves` are the operations learned, used to reach lexicon words without a witness."""
+    """Edits a word letter by letter: at each letter the operations keep, replace, delete and insert are open, as learned.
+
+    A sequence of operations is scored by its operations in their context and by what it leads to: a word that the corrected text
+    lacks, or one of the lexicon. The best sequence wins, keeping every letter being one of them.
+    """
+
+    MOST = 2  # edits in a word that no witness vouches for
 
     def __init__(self, know: Knowledge):
         self.know, self.model = know, Perceptron()
-        self.moves: list[tuple[str, str]] = []
+        self.at: dict[str, list[tuple[str, str]]] = {}  # letter -> (letters from there, what replaces them)
+        self.after: dict[str, list[str]] = {}  # left neighbour -> what may be inserted behind it
         self.memo: dict[str, list[str]] = {}
+        self.alone: dict[tuple[str, str], tuple[float, str]] = {}
+
+    def learn(self, seen: Counter, least: int = 3) -> None:
+        """Take up the operations (left neighbour, from, to) that occurred `least` times; replacements count over all neighbours."""
+        plainly: Counter = Counter()
+        for (left, x, y), n in seen.items():
+            if x:
+                plainly[x, y] += n
+            elif n >= least:
+                self.after.setdefault(left, []).append(y)
+        for (x, y), n in plainly.items():
+            if n >= least:
+                self.at.setdefault(x[0], []).append((x, y))
 
     def features(self, o: str, c: str, vouched: bool, present: str) -> list[str]:
         """present: 'none' without a witness, 'yes' if it holds the scanned word too, else 'no'."""
@@ -291,54 +343,79 @@ class Editor:
         if o == c:
             return ["keep", "keep" + present, f"keepf{min(ko, 5)}", f"keep{present}f{min(ko, 5)}", f"keep{any(x.isdigit() for x in o)}"]
         ops = operations(o, c)
-        fs = [f"n{min(len(ops), 3)}", f"v{vouched}{present}", f"f{min(kc, 5)}", f"d{max(-3, min(6, kc - ko))}", f"v{vouched}{present}d{max(-2, min(4, kc - ko))}", f"z{min(4, sum(max(len(x), len(y)) for _, x, y in ops))}v{vouched}"]
+        fs = [f"n{min(len(ops), 3)}", f"v{vouched}{present}", f"f{min(kc, 5)}", f"d{max(-3, min(6, kc - ko))}", f"v{vouched}{present}d{max(-2, min(4, kc - ko))}", f"v{vouched}{present}o{min(ko, 5)}", f"z{min(4, sum(max(len(x), len(y)) for _, x, y in ops))}v{vouched}"]
         for left, x, y in ops:
             fs += [f"o{x}>{y}", f"o{left}|{x}>{y}"] if len(x) <= 3 and len(y) <= 3 else ["olong", "olong" + str(max(len(x), len(y)) - len(min(x, y, key=len)) > 2)]
         return fs
 
     def reach(self, o: str) -> list[str]:
-        """Lexicon words that one or two learned operations lead to."""
+        """All lexicon words that up to MOST learned operations lead to, found letter by letter along the lexicon's beginnings."""
         got = self.memo.get(o)
         if got is None:
             if len(self.memo) > 200_000:
                 self.memo.clear()
-            words = self.know.words
-            one = {o[:i] + y + o[i + len(x) :] for x, y in self.moves for i in _places(o, x)}
-            got = [w for w in one if words.get(w, 0) >= 3]
-            if not got:
-                got = [w for v in one for x, y in self.moves[:40] for i in _places(v, x) if words.get(w := v[:i] + y + v[i + len(x) :], 0) >= 3]
-            got = self.memo[o] = sorted(set(got) - {o}, key=lambda w: (-words[w], w))[:8]
+            know, n = self.know, len(o)
+            out = set()
+            stack = [(0, "", 0)]
+            while stack:
+                i, made, k = stack.pop()
+                if i == n and k and know.words.get(made, 0) >= 3:
+                    out.add(made)
+                if i < n and know.begins(made + o[i]):
+                    stack.append((i + 1, made + o[i], k))
+                if k < self.MOST:
+                    for x, y in self.at.get(o[i], ()) if i < n else ():
+                        if o.startswith(x, i) and know.begins(made + y):
+                            stack.append((i + len(x), made + y, k + 1))
+                    for y in self.after.get(o[i - 1] if i else "^", ()):
+                        if know.begins(made + y):
+                            stack.append((i, made + y, k + 1))
+            got = self.memo[o] = sorted(out - {o})
         return got
 
+    def near(self, o: str, lacking: list[str]) -> list[str]:
+        lo, hi = len(o) - 2, len(o) + 2
+        return [t for t in lacking if lo <= len(t) <= hi and _similar(o, t)]
+
     def candidates(self, o: str, lacking: list[str]) -> list[tuple[str, bool]]:
         """(word, vouched for by the witness)."""
-        near = [t for t in lacking if abs(len(t) - len(o)) <= 2 and _similar(o, t)]
+        near = self.near(o, lacking)
         return [(t, True) for t in near] + [(w, False) for w in self.reach(o) if w not in near]
 
     def best(self, o: str, lacking: list[str], present: str) -> str:
-        top, word = self.model.score(self.features(o, o, False, present)), o
-        for c, vouched in self.candidates(o, lacking):
-            s = self.model.score(self.features(o, c, vouched, present))
+        near = self.near(o, lacking) if lacking else ()
+        got = self.alone.get((o, present))
+        if got is None:  # what the word may be by lexicon and operations is the same on all pages
+            if len(self.alone) > 400_000:
+                self.alone.clear()
+            got = self.model.score(self.features(o, o, False, present)), o
+            for c in self.reach(o):
+                s = self.model.score(self.features(o, c, False, present))
+                if s > got[0]:
+                    got = s, c
+            self.alone[o, present] = got
+        top, word = got
+        for c in near:
+            s = self.model.score(self.features(o, c, True, present))
             if s > top:
                 top, word = s, c
         return word
 
 
-def _places(s: str, x: str) -> list[int]:
-    out, at = [], s.find(x)
-    while at >= 0 and x:
-        out.append(at)
-        at = s.find(x, at + 1)
-    return out
+PAIRS: dict[tuple[str, str], bool] = {}
 
 
 def _similar(a: str, b: str) -> bool:
     """At least half of the longer word's letters in common, in a cheap count."""
-    if a == b:
-        return False
-    ca = Counter(a)
-    common = sum(min(n, ca[x]) for x, n in Counter(b).items())
-    return common >= 0.5 * max(len(a), len(b)) and (a[:2] == b[:2] or a[-2:] == b[-2:] or common >= 0.7 * max(len(a), len(b)))
+    got = PAIRS.get((a, b))
+    if got is None:
+        if len(PAIRS) > 300_000:
+            PAIRS.clear()
+        longer = max(len(a), len(b))
+        ca = Counter(a)
+        common = sum(min(n, ca[x]) for x, n in Counter(b).items())
+        got = PAIRS[a, b] = a != b and common >= 0.5 * longer and (a[:2] == b[:2] or a[-2:] == b[-2:] or common >= 0.7 * longer)
+    return got
 
 
 class Page:
@@ -346,37 +423,38 @@ class Page:
 
     def __init__(self, know: Knowledge):
         self.know, self.lines, self.joins, self.editor = know, Perceptron(), Perceptron(), Editor(know)
+        self.judged: dict[tuple, bool] = {}
+        self.judged_by: dict | None = None
 
     def witness(self, text: str | None) -> tuple[list[str], set[str] | None, set[str] | None]:
+        """Words and figures of a corrected text, the same as a set, and its hyphenated words."""
         if not text:
             return [], None, None
         p = unbroken(plain(text))
-        listed = TOKEN.findall(p)
-        return listed, set(listed) | set(NUMBER.findall(p)), {x + "-" + y for x, y in COMPOUND.findall(p)} if "-" in p else set()
+        said = EACH.findall(p)
+        return said, set(said), {x + "-" + y for x, y in COMPOUND.findall(p)} if "-" in p else set()
+
+    def furniture(self, key: tuple) -> bool:
+        if len(self.judged) > 400_000 or self.judged_by is not self.lines.w:
+            self.judged, self.judged_by = {}, self.lines.w
+        got = self.judged.get(key)
+        if got is None:
+            got = self.judged[key] = self.lines.score(line_features(key)) > 0
+        return got
 
     def repair(self, scan: str | None, text: str | None, source: str | None) -> tuple[str, list[tuple[str, str]]]:
         """Continuous text of a scan, and what was repaired as (kind, item), each once."""
         if not scan:
             return "", []
-        listed, seen, compounds = self.witness(text)
+        said, seen, compounds = self.witness(text)
         know = self.know
-        own = know.titles.get(source or "", ())
         lines = [x for x in scan.split("\n") if x.strip()]
         found: dict[tuple[str, str], None] = {}
         kept: list[str] = []
-        spoken = [TOKEN.findall(plain(x)) for x in lines]
-        near: tuple[Counter, Counter] | None | bool = False  # not yet known
+        spoken = [_all_words(x) for x in lines]
+        witness = Witness(spoken, said) if seen is not None and _covered(spoken, seen) else None
         for i, line in enumerate(lines):
-            # Longer lines inside the page most of whose words the corrected text holds are no furniture, unless they look like
-            # a title, which may have leaked into that text; most lines end here.
-            if seen and 0 < i < len(lines) - 1 and len(line) > 20 and 2 * sum(w in seen for w in spoken[i]) > len(spoken[i]) and not title_of(line.strip()) and not _titled(PAGE_WORDS.sub("", letters(line)), own):
-                kept.append(line)
-                continue
-            if near is False:
-                near = None
-                if seen is not None and _covered([w for ws in spoken for w in ws], seen):
-                    near = (Counter(_all_words(scan)), Counter(_all_words(unbroken(plain(text)))))
-            if self.lines.score(line_features(lines, i, source, know, near)) > 0:
+            if self.furniture(line_key(lines, i, spoken[i], source, know, witness)):
                 found["furniture", line.strip()] = None
             else:
                 kept.append(line)
@@ -390,10 +468,10 @@ class Page:
             nxt = HEAD.match(kept[i + 1]) if m and i + 1 < len(kept) else None
             if m and nxt:
                 if self.joins.score(join_features(m[1], m[2], nxt[1], know, seen, compounds)) > 0:
-                    carry = line[: m.end(1)]
+                    carry = line.rstrip()[:-1]
                     splits.append(plain(m[1] + nxt[1]))
                     continue
-                carry = line[: m.end(1)] + ("- " if plain(nxt[1]) in CONJUNCTIONS else "-")
+                carry = line.rstrip()[:-1] + ("- " if plain(nxt[1]) in CONJUNCTIONS else "-")
                 continue
             pieces.append(line)
         if carry:
@@ -401,14 +479,11 @@ class Page:
         whole = " ".join(pieces)
         low = plain(whole)
         tokens = TOKEN.findall(low)
-        lacking: list[str] | None = None
+        lacking = _lacking(said, tokens)
         fixed: dict[str, str] = {}
-        words = know.words
-        for w in set(tokens):
-            if len(w) < 2 or (w.isalpha() and ((seen is None or w in seen) and words.get(w, 0) >= 3)):
+        for w in dict.fromkeys(tokens):
+            if len(w) < 2:
                 continue
-            if lacking is None:
-                lacking = _lacking(listed, tokens)
             present = "none" if seen is None else "yes" if w in seen else "no"
             c = self.editor.best(w, lacking, present)
             if c != w:
@@ -433,18 +508,19 @@ def train(sample: list[tuple[str, str, str]], know: Knowledge, epochs: int = 4,
     lines_data, join_data, word_data = [], [], []
     moves: Counter = Counter()
     for n, (scan, text, source) in enumerate(sample):
-        listed, seen, compounds = page.witness(text)
+        said, seen, compounds = page.witness(text)
         hide = n % 3 == 0
         lines = [x for x in scan.split("\n") if x.strip()]
         kept = []
-        if not _covered(TOKEN.findall(plain(scan)), seen):
+        spoken = [_all_words(x) for x in lines]
+        if not _covered(spoken, seen):
             continue  # the text is cut, invented or another one: it teaches nothing about this scan
-        both = (Counter(_all_words(scan)), Counter(_all_words(unbroken(plain(text)))))
+        both = Witness(spoken, said)
         for i, line in enumerate(lines):
             carried = _carried(lines, i)
             # Nothing of a line in the corrected text: furniture, unless it only ends a broken word.
-            gone = _needed(line, *both) == "0" and not (carried and line.strip()[:1].islower()) and len(lines) > 1
-            lines_data.append((line_features(lines, i, source, know, None if hide else both), gone))
+            gone = both.needs(spoken[i]) == "0" and not (carried and line.strip()[:1].islower()) and len(lines) > 1
+            lines_data.append((line_features(line_key(lines, i, spoken[i], source, know, None if hide else both)), gone))
             if not gone:
                 kept.append(line)
         carry = ""
@@ -462,11 +538,11 @@ def train(sample: list[tuple[str, str, str]], know: Knowledge, epochs: int = 4,
                     join_data.append((join_features(m[1], m[2], nxt[1], know, None if hide else seen, None if hide else compounds), yes))
                 else:
                     yes = nxt[1][0].islower()
-                carry = line[: m.end(1)] + ("" if yes else "-")
+                carry = line.rstrip()[:-1] + ("" if yes else "-")
                 continue
             pieces.append(line)
         tokens = TOKEN.findall(plain(" ".join(pieces)))
-        lacking = _lacking(listed, tokens)
+        lacking = _lacking(said, tokens)
         for w in dict.fromkeys(tokens):
             if len(w) < 2:
                 continue
@@ -477,11 +553,11 @@ def train(sample: list[tuple[str, str, str]], know: Knowledge, epochs: int = 4,
                 if sum(max(len(x), len(y)) for _, x, y in ops) > max(2, 0.4 * len(w)):
                     gold = w
                 else:
-                    moves.update((x, y) for _, x, y in ops)
+                    moves.update(ops)
                 word_data.append((w, lacking, gold, "none" if hide else "no"))
             elif know.words.get(w, 0) < 3 or rng.random() < 0.02:
                 word_data.append((w, lacking, w, "none" if hide else "yes"))
-    page.editor.moves = [m for m, n in moves.most_common(80) if n >= 3 and m[0]]
+    page.editor.learn(moves)
     for data, model in ((lines_data, page.lines), (join_data, page.joins)):
         for _ in range(epochs):
             rng.shuffle(data)
@@ -512,30 +588,29 @@ def train(sample: list[tuple[str, str, str]], know: Knowledge, epochs: int = 4,
 
 
 def learn(ads: DataFrame, key: str, text: str, scan: str, source: str, sample_rows: int, lexicon: int) -> Page:
-    """Counts over all ads, then the models on a sample of about `sample_rows` ads of smallest hash.
+    """Counts over all ads, then the models on a sample of about `sample_rows` whole ads of smallest hash.
 
     The lexicon that is sent to the tasks is bounded: the `lexicon` most frequent words of at least three occurrences.
+    Misread titles and chance matches are far rarer than a source's own titles: those of at least a tenth of the most frequent
+    one hold, which Spark decides before any reaches the driver.
     """
     c = cut(counts(ads, text, scan, source))
     frequent = c.where("kind = 'w' and n >= 3").orderBy(F.desc("n"), "a").limit(lexicon).select("a", "n").collect()
-    hyphened = c.where("kind = 'h' and n >= 2").orderBy(F.desc("n"), "a").limit(lexicon // 4).select("a", "n").collect()
+    hyphened = c.where("kind = 'h' and n >= 2").orderBy(F.desc("n"), "a").limit(lexicon).select("a", "n").collect()
+    t = c.where("kind = 't' and n >= 2")
+    own = t.join(t.groupBy("a").agg(F.max("n").alias("most")), "a").where("n >= 0.1 * most").select("a", "b")
     titles: dict[str, set[str]] = defaultdict(set)
-    by_source: dict[str, dict[str, int]] = defaultdict(dict)
-    for r in bounded_rows(c.where("kind = 't' and n >= 2").select("a", "b", "n"), 200_000, "the list of titles"):
-        by_source[r["a"]][r["b"]] = r["n"]
-    for src, ts in by_source.items():
-        # Misread titles and chance matches are far rarer than the source's own titles.
-        titles[src] = {t for t, n in ts.items() if n >= 0.1 * max(ts.values())}
+    for r in bounded_rows(own, 1_000_000, "the list of the sources' own titles"):
+        titles[r["a"]].add(r["b"])
     know = Knowledge({r["a"]: r["n"] for r in frequent}, {r["a"]: r["n"] for r in hyphened}, dict(titles))
     usable = ads.where(F.col(text).isNotNull() & F.col(scan).isNotNull() & F.col(key).isNotNull())
-    n = usable.count()
-    share = min(1.0, sample_rows / max(n, 1))
-    got = usable.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(share * 1_000_000)).select(F.substring(scan, 1, 4000).alias("s"), F.substring(text, 1, 4000).alias("t"), F.coalesce(F.col(source), F.lit("")).alias("o"))
+    share = min(1.0, sample_rows / max(usable.count(), 1))
+    got = usable.where(hash_below(key, share)).select(F.col(scan).alias("s"), F.col(text).alias("t"), F.coalesce(F.col(source), F.lit("")).alias("o"))
     rows = bounded_rows(got, 3 * sample_rows + 1000, "the training sample")
     return train([(r["s"], r["t"], r["o"]) for r in rows], know)
 
 
-def repair(ads: DataFrame, key: str = "ad_id", text: str = "text", scan: str = "text_ocr", source: str = "newspaper", sample_rows: int = 4000, lexicon: int = 200_000) -> DataFrame:
+def repair(ads: DataFrame, key: str = "ad_id", text: str = "text", scan: str = "text_ocr", source: str = "newspaper", sample_rows: int = 4000, lexicon: int = 1_000_000) -> DataFrame:
     """(key, repaired, items): the continuous text of every scan and the repairs, an array of (kind, item).
 
     One Arrow pass over all rows and whole texts. NULL and empty scans give an empty text without items; a NULL corrected text
