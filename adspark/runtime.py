@@ -69,7 +69,7 @@ def bounded_rows(df: DataFrame, bound: int, what: str) -> list:
 
 def bounded_bytes(rows: list, most: int, what: str) -> list:
     """The rows of a reference table whose strings together prove small enough to be sent to every task; else an error."""
-    size = sum(len(v.encode()) if isinstance(v, str) else 8 for r in rows for v in r)
+    size = sum(len(x.encode()) if isinstance(x, str) else 8 for r in rows for v in r for x in (v if isinstance(v, list) else [v]))
     if size > most:
         raise ValueError(f"{what} holds {size} bytes, more than {most}; it is no reference table")
     return rows
