@@ -1,9 +1,11 @@
 """Free-entered values mapped to a reference list, with the misses reported (problem 6).
 
 A symmetric-delete dictionary of the reference spellings (titles, female forms, aliases, value names; a reference table of
-proven size) is sent to every task. A lookup generates the deletes of the query, takes the spellings that share one, and
-ranks them by weighted Damerau-Levenshtein distance, then by how often the reference entry is named exactly in the data.
-Cheap edits are the confusions of print recognition and of historical spelling; everything else costs one.
+proven size) is sent to every task. A lookup generates the deletes of the query, takes the spellings that share one and lie
+within the bound (none, one or two edits, by length, for which the deletes of both sides are exact), and ranks them by weighted
+Damerau-Levenshtein distance, then by how often the reference entry is named exactly in the data. Cheap edits are the
+confusions of print recognition and of historical spelling; everything else costs one. A misread letter group ("rn" for "m")
+is undone first where there is one, so that it does not use up the bound.
 
 Free text needs more than one lookup: a surface may name several jobs, wrap them in numbers, adjectives, places and
 compounds ("zwei geübte Köchinnen für ...", "Kutscher-Posten"), or abbreviate them ("Stubenm."). The parts are tried
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from adspark.runtime import Shared, bounded_rows, cut
+from adspark.runtime import Shared, bounded_bytes, bounded_rows, cut
 
 # Groups of letters that print recognition confuses; an edit inside a group costs half.
 CONFUSED = ["ceo", "nu", "nrm", "rvt", "rt", "rn", "hb", "hk", "il1jt", "sf", "ao0", "gq9", "dbo", "bv", "kr", "gs", "mn", "uü", "aä", "oö", "zc", "ck", "yi", "cz", "li", "tf", "pb", "td", "vw"]
@@ -85,15 +87,39 @@ def _gap(s: str, i: int) -> float:
 
 
 def merged(s: str) -> list[str]:
-    """The string and what it may be if one pair of letter groups was misread."""
+    """The string and what it may be if one pair of letter groups was misread, at every place where one stands."""
     out = [s]
     for one, many in MERGED:
         for x, y in ((one, many), (many, one)):
             at = s.find(x)
-            while at >= 0 and len(out) < 60:
+            while at >= 0:
                 out.append(s[:at] + y + s[at + len(x):])
                 at = s.find(x, at + 1)
-    return out
+    return list(dict.fromkeys(out))
+
+
+def edits(a: str, b: str, most: int) -> int:
+    """Damerau-Levenshtein distance (adjacent transpositions), `most` + 1 if larger."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    prev2: list[int] = []
+    prev = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        cur = [i + 1]
+        for j, y in enumerate(b):
+            c = min(prev[j] + (x != y), prev[j + 1] + 1, cur[j] + 1)
+            if i and j and x == b[j - 1] and a[i - 1] == y:
+                c = min(c, prev2[j - 1] + 1)
+            cur.append(c)
+        if min(cur) > most:
+            return most + 1
+        prev2, prev = prev, cur
+    return prev[-1]
+
+
+def reachable(n: int) -> int:
+    """The bound of a lookup for a word of n letters: so many edits, and so many deletes on either side, reach every spelling in it."""
+    return 0 if n <= 3 else 1 if n <= 5 else 2
 
 
 def deletes(s: str, k: int) -> set[str]:
@@ -127,12 +153,18 @@ class Spellings:
         self.frequency = frequency or {}
         self.index: dict[str, set[str]] = defaultdict(set)
         for f in self.by:
-            for d in deletes(f, 2 if len(f) > 5 else 1):
+            for d in deletes(f, reachable(len(f))):
                 self.index[d].add(f)
         self.heads: dict[str, set[str]] = defaultdict(set)
         for f in self.by:
             self.heads[f[0]].add(f)
+        # Spellings of several words by the number of their words.
+        self.phrases: dict[int, list[tuple[str, list[str]]]] = defaultdict(list)
+        for f in self.by:
+            words = regex.split(r"[\s-]+", f)
+            self.phrases[len(words)].append((f, words))
         self.memo: dict[str, tuple[float, int] | None] = {}
+        self.values: dict[str, int] = {}
 
     def _ref(self, f: str) -> int:
         return min(self.by[f], key=lambda r: (-self.frequency.get(r, 0), r))
@@ -145,6 +177,8 @@ class Spellings:
         """The nearest spelling within the allowed distance: (distance, reference id)."""
         p = plain(word).rstrip(".")
         if p not in self.memo:
+            if len(self.memo) > 200_000:
+                self.memo.clear()
             found = [n for f in {fold(p), p} if (n := self._near(f))]
             self.memo[p] = min(found, default=None)
         return self.memo[p]
@@ -157,14 +191,15 @@ class Spellings:
         best = None
         for v in merged(f):
             extra = 0.0 if v == f else 0.5
-            for d in deletes(v, 2 if len(v) > 5 else 1):
-                for s in self.index.get(d, ()):
-                    if negated(v, s):
-                        continue
-                    c = distance(v, s, 2.5) + extra
-                    if c <= allowed(min(len(f), len(s))):
-                        key = (c, -self.frequency.get(self._ref(s), 0), self._ref(s))
-                        best = key if best is None or key < best else best
+            seen = {s for d in deletes(v, reachable(len(v))) for s in self.index.get(d, ())}
+            for s in seen:
+                n = min(len(f), len(s))
+                if negated(v, s) or edits(v, s, reachable(n)) > reachable(n):
+                    continue
+                c = distance(v, s, 2.5) + extra
+                if c <= allowed(n):
+                    key = (c, -self.frequency.get(self._ref(s), 0), self._ref(s))
+                    best = key if best is None or key < best else best
         return None if best is None else (best[0], best[2])
 
     def abbreviated(self, word: str, dotted: bool) -> list[int]:
@@ -238,6 +273,16 @@ def _looks_like(part: str, ref: int, forms: Spellings) -> bool:
     return any(len(w) >= 4 and distance(w, f, 4.0) <= 0.4 * len(f) for w in words for f in spelled)
 
 
+def value_of(value: str, forms: Spellings) -> int:
+    """As name_value, each distinct value looked up once in a task."""
+    got = forms.values.get(value)
+    if got is None:
+        if len(forms.values) > 200_000:
+            forms.values.clear()
+        got = forms.values[value] = name_value(value, forms)
+    return got
+
+
 def name_value(value: str, forms: Spellings) -> int:
     """The reference value that a tag value spells, 0 if none: the whole, its core, or its words one by one."""
     whole = forms.near(PAREN.sub(" ", value))
@@ -251,14 +296,14 @@ def name_value(value: str, forms: Spellings) -> int:
     if got:
         return got[1]
     best: list[tuple[float, int]] = []
-    for f, refs in forms.by.items():
-        target = regex.split(r"[\s-]+", f)
-        if len(target) == len(words):
-            cost = 0.0
-            for w, t in zip(words, target, strict=True):
-                cost += _word_cost(w, t)
-            if cost <= 1.0 * len(words) and cost < 90:
-                best.append((cost, forms._ref(f)))
+    for f, target in forms.phrases.get(len(words), ()):
+        cost = 0.0
+        for w, t in zip(words, target, strict=True):
+            cost += _word_cost(w, t)
+            if cost > len(words):
+                break
+        else:
+            best.append((cost, forms._ref(f)))
     if best:
         return min(best, key=lambda x: (x[0], -forms.frequency.get(x[1], 0), x[1]))[1]
     return 0
@@ -280,6 +325,7 @@ def _word_cost(word: str, target: str) -> float:
     return d / 2 if d <= allowed(min(len(w), len(target))) else 99.0
 
 
+REFERENCE_BYTES = 16 << 20  # the deletes of a spelling take some hundred times its room
 JOB = T.ArrayType(T.StructType([T.StructField("ref_id", T.LongType()), T.StructField("cost", T.DoubleType())]))
 
 
@@ -293,9 +339,11 @@ def map_positions(position_dict: DataFrame, titles: DataFrame, bound: int = 100_
     """
     ref = bounded_rows(titles.select("title_id", "title", "female_title", "aliases"), bound, "the reference list")
     spelled = [(r["title_id"], s) for r in ref for s in (r["title"], r["female_title"], *(r["aliases"] or []))]
-    listed = sorted({s for r in ref for s in (r["title"], r["female_title"]) if s})
+    bounded_bytes(ref, REFERENCE_BYTES, "the reference list")
+    listed = titles.select(F.explode(F.array("title", "female_title")).alias("surface")).where("surface is not null").distinct().withColumn("listed", F.lit(True))
     rows = position_dict.select("form_id", "surface", "entries").dropDuplicates(["form_id"]).where("form_id is not null and surface is not null and trim(surface) <> ''")
-    named = rows.where(F.col("surface").isin(listed)).groupBy("surface").agg(F.count("*").alias("n"))  # as many rows as the list has names
+    rows = rows.join(F.broadcast(listed), "surface", "left")  # as many rows as the list has names
+    named = rows.where("listed").groupBy("surface").agg(F.count("*").alias("n"))
     seen = {r["surface"]: r["n"] for r in named.collect()}
     often: dict[int, int] = defaultdict(int)
     for i, s in spelled:
@@ -309,8 +357,8 @@ def map_positions(position_dict: DataFrame, titles: DataFrame, bound: int = 100_
         return pd.Series([[{"ref_id": r, "cost": c} for r, c in name_jobs(s, [list(x) for x in h] if h is not None else [], f)] for s, h in zip(surface, hints, strict=True)])
 
     hint = F.transform(F.coalesce("entries", F.array()), lambda e: F.array(e["lemma"], e["term"], e["modern"]))
-    out = rows.select("form_id", "surface", F.posexplode(jobs("surface", hint)).alias("at", "j"))
-    exact = F.col("surface").isin(listed)
+    out = rows.select("form_id", "listed", F.posexplode(jobs("surface", hint)).alias("at", "j"))
+    exact = F.coalesce("listed", F.lit(False))
     return out.select(F.col("form_id").alias("row_id"), (F.col("at") + 1).cast("int").alias("item_no"), F.col("j.ref_id").alias("ref_id"), F.col("j.cost").alias("cost"), exact.alias("exact"))
 
 
@@ -325,8 +373,9 @@ def map_tags(requirement_dict: DataFrame, values: DataFrame, bound: int = 100_00
     rows = requirement_dict.select("req_id", "surface", "tags").dropDuplicates(["req_id"]).where("req_id is not null")
     tag = rows.select("req_id", "surface", F.size("tags").alias("n_tags"), F.posexplode("tags").alias("at", "t")).select("req_id", "surface", "n_tags", (F.col("at") + 1).cast("int").alias("item_no"), F.col("t.dimension").alias("dimension"), F.col("t.value").alias("value"))
     tag = tag.where("value is not null and trim(value) <> ''")
-    names = F.create_map(*[x for r in ref for x in (F.lit(f"{r['dimension']}\x01{r['value_name']}"), F.lit(int(r["value_id"])))]) if ref else F.create_map(F.lit(""), F.lit(0))
-    tag = tag.withColumn("named", F.try_element_at(names, F.concat_ws("\x01", F.coalesce("dimension", F.lit("")), "value")).cast("long"))
+    bounded_bytes(ref, REFERENCE_BYTES, "the reference list")
+    names = values.where("value_id is not null").groupBy("dimension", F.col("value_name").alias("value")).agg(F.min("value_id").cast("long").alias("named"))
+    tag = tag.join(F.broadcast(names), ["dimension", "value"], "left")  # as many rows as the list
     often = {r["named"]: r["n"] for r in tag.where("named is not null").groupBy("named").agg(F.count("*").alias("n")).collect()}  # at most as many rows as the list
     lists = {d: Spellings([(r["value_id"], r["value_name"]) for r in ref if r["dimension"] == d], often) for d in {r["dimension"] for r in ref}}
     shared = Shared(rows.sparkSession, lists)
@@ -334,13 +383,7 @@ def map_tags(requirement_dict: DataFrame, values: DataFrame, bound: int = 100_00
     @F.pandas_udf(T.LongType())
     def spell(dimension: pd.Series, value: pd.Series) -> pd.Series:
         ls = shared.value
-        memo: dict = {}
-        out = []
-        for d, v in zip(dimension, value, strict=True):
-            if (d, v) not in memo:
-                memo[d, v] = name_value(v, ls[d]) if d in ls else 0
-            out.append(memo[d, v])
-        return pd.Series(out, dtype="int64")
+        return pd.Series([value_of(v, ls[d]) if d in ls else 0 for d, v in zip(dimension, value, strict=True)], dtype="int64")
 
     tag = cut(tag.withColumn("spelled", F.when(F.col("named").isNull(), spell("dimension", "value")).otherwise(F.col("named"))))
     key = F.trim(F.regexp_replace(F.translate(F.lower(F.coalesce("surface", F.lit(""))), "ſ", "s"), r"[^\p{L}\p{N}]+", " "))
