@@ -9,8 +9,9 @@ of that unit's worth, so only weights, means and widths are fitted:
 * a stated sum of worth V leaves log(amount) = log V - log worth(unit) + noise: components sit at known, narrow places, and
   the posterior names the unit whose offset explains the recorded amount ("42 Groschen" recorded as 0.42 is in Schilling,
   "1.690 fl." recorded as 1.69 in thousands of Gulden);
-* without any named unit, log worth is normal by period of payment and the weights are the unit frequencies of the decade;
-  weights are refitted by expectation-maximisation on the rows that lack a unit, over a histogram of bounded size.
+* without any named unit, log worth is normal by period of payment, the weights are the unit frequencies of the year and its
+  neighbours, and what the standard column says counts as often as it says so beside that unit elsewhere; weights are refitted
+  by expectation-maximisation on the rows that lack a unit, over a histogram.
 
 Posteriors under `sure` are flagged `uncertain`. Rows without an amount keep NULLs; a phrase without a number falls back to
 the mixture with the named unit as the only family.
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from adspark.runtime import bounded_rows
+from adspark.runtime import bounded_rows, cut
 
 # Unit names and spellings in phrases and currency columns, main units before their parts.
 UNIT_WORDS = [
@@ -135,7 +136,9 @@ def parse(salary: DataFrame) -> DataFrame:
     return df.withColumn("stated_sum", digits)
 
 
-BINS = 40  # per natural logarithm
+BINS = 10  # per natural logarithm
+NEAR = 1.0  # years over which the unit frequencies of neighbouring years fade by e
+RARE_PERIOD = 0.005  # periods of payment named in a smaller part of the rows share one normal
 
 
 def _units_of(pay_units: DataFrame) -> pd.DataFrame:
@@ -143,56 +146,80 @@ def _units_of(pay_units: DataFrame) -> pd.DataFrame:
     return pd.DataFrame([r.asDict() for r in rows], columns=["unit_id", "unit_name", "standard", "kronen"])
 
 
+def _told_standard(c: Column) -> Column:
+    """What a standard column says, '' where it says nothing known."""
+    t = F.concat(F.lit("0 "), _plain(F.coalesce(c, F.lit(""))))
+    return F.coalesce(stated_standard(t), F.when(t.rlike(r"\bcm\b|conv"), "CM").when(t.rlike(r"ö\.? ?w|o\.?e\.? ?w"), "öW"), F.lit(""))
+
+
 def fit(parsed: DataFrame, units: pd.DataFrame, rounds: int = 30) -> dict:
-    """Fit the mixture on a histogram of all rows: log worth by period from rows with a unit, weights by decade from all.
+    """Fit the mixture on a histogram of all rows: log worth by period and standards by unit from rows with a unit, weights by year.
 
-    The histogram has at most periods x decades x units x bins cells; it is the only thing that reaches the driver.
+    The histogram is one row per (period, year, unit, standard, bin); it stays in Spark. What reaches the driver are its sums by
+    period, by (year, unit, standard), and by (period, year, standard, bin) of the rows without a unit.
     """
     worth = {(u.unit_name, u.standard or ""): u.kronen for u in units.itertuples()}
     key = F.concat_ws("|", F.col("stated_unit"), F.coalesce(F.col("stated_std"), F.lit("")))
     kron = F.create_map(*[x for (n, s), k in worth.items() for x in (F.lit(f"{n}|{s}"), F.lit(float(k)))]) if worth else F.lit(None)
     rows = parsed.where(F.col("amount_min") > 0).select(
-        F.coalesce("period", F.lit("")).substr(1, 12).alias("period"),
-        F.floor(F.coalesce(F.year("ad_day"), F.lit(0)) / 10).cast("int").alias("decade"),
+        F.coalesce("period", F.lit("")).alias("period"),
+        F.coalesce(F.year("ad_day"), F.lit(0)).alias("year"),
         F.when(F.col("stated_unit").isNotNull(), key).alias("unit"),
+        F.col("told_std").alias("std"),
         F.when(F.col("stated_unit").isNull(), F.floor(F.log("amount_min") * BINS)).otherwise(F.floor(F.log(F.coalesce("stated_sum", "amount_min") * F.try_element_at(kron, key)) * BINS)).cast("int").alias("bin"),
     )
-    cells = bounded_rows(rows.groupBy("period", "decade", "unit", "bin").agg(F.count("*").alias("n")), 2_000_000, "the histogram of amounts")
-    h = pd.DataFrame([r.asDict() for r in cells], columns=["period", "decade", "unit", "bin", "n"])
-    known, open_ = h[h.unit.notna() & h.bin.notna()], h[h.unit.isna() & h.bin.notna()]
-    x = known.bin / BINS
-    mean = float((x * known.n).sum() / max(known.n.sum(), 1))
-    std = float(math.sqrt(max(((x - mean) ** 2 * known.n).sum() / max(known.n.sum(), 1), 0.25)))
-    norms = {}
-    for p, g in known.groupby("period"):
-        gx, n = g.bin / BINS, g.n.sum()
-        m = float((gx * g.n).sum() / n)
-        norms[p] = (m, float(math.sqrt(max(((gx - m) ** 2 * g.n).sum() / n, 0.25))))
-    norms[None] = (mean, std)
-    names = [f"{u.unit_name}|{u.standard or ''}" for u in units.itertuples()]
-    base = np.ones(len(names))
-    all_w = known.groupby("unit").n.sum()
-    overall = np.array([all_w.get(k, 0) for k in names], float) + base * 0.01
-    overall /= overall.sum() or 1
-    logw = np.log(np.array([max(u.kronen, 1e-12) for u in units.itertuples()])) if len(units) else np.zeros(0)
+    cells = cut(rows.groupBy("period", "year", "unit", "std", "bin").agg(F.count("*").alias("n")))
+    most = cells.agg(F.sum("n")).first()[0] or 0
+    often = [r["period"] for r in cells.groupBy("period").agg(F.sum("n").alias("n")).where(F.col("n") >= RARE_PERIOD * most).collect()]  # 1 / RARE_PERIOD rows
+    cells = cells.withColumn("period", F.when(F.col("period").isin(often), F.col("period")).otherwise(""))
+    known, bound = cells.where("unit is not null"), 2_000_000
+    x = F.col("bin") / BINS
+    moments = known.where("bin is not null").groupBy("period").agg(F.sum("n").alias("n"), F.sum(x * F.col("n")).alias("s"), F.sum(x * x * F.col("n")).alias("q")).collect()
+    named = bounded_rows(known.groupBy("year", "unit", "std").agg(F.sum("n").alias("n")), bound, "the units of years")
+    open_ = bounded_rows(cells.where("unit is null and bin is not null").groupBy("period", "year", "std", "bin").agg(F.sum("n").alias("n")), bound, "the amounts without a unit")
+
+    def normal(n: float, s: float, q: float) -> tuple[float, float]:
+        m = s / max(n, 1)
+        return m, math.sqrt(max(q / max(n, 1) - m * m, 0.25))
+
+    norms: dict = {r["period"]: normal(r["n"], r["s"], r["q"]) for r in moments if r["n"] >= 30}
+    norms[None] = normal(*[sum(r[c] for r in moments) for c in ("n", "s", "q")])
+    names = {f"{u.unit_name}|{u.standard or ''}": i for i, u in enumerate(units.itertuples())}
+    logw = np.log(np.maximum(units.kronen.to_numpy(float), 1e-12))
+    overall = np.full(len(names), 0.01)
+    told = {s: np.full(len(names), 0.5) for s in ("", "CM", "öW")}
+    by_year: dict[int, np.ndarray] = {}
+    for r in named:
+        i = names.get(r["unit"])
+        if i is not None:
+            overall[i] += r["n"]
+            told[r["std"]][i] += r["n"]
+            by_year.setdefault(r["year"], np.zeros(len(names)))[i] += r["n"]
+    overall = overall / (overall.sum() or 1)
+    total = sum(told.values())
+    told = {s: v / total for s, v in told.items()}
+    lacking: dict[int, list] = {}
+    for r in open_:
+        lacking.setdefault(r["year"], []).append(r)
     weights = {}
-    for d, g in h.groupby("decade"):
-        kg, og = g[g.unit.notna()].groupby("unit").n.sum(), open_[open_.decade == d]
-        prior = np.array([kg.get(k, 0) for k in names], float) + overall
+    for y in sorted(by_year.keys() | lacking.keys()):
+        prior = overall + sum(v * math.exp(-abs(y - z) / NEAR) for z, v in by_year.items() if abs(y - z) <= 8 * NEAR)
         w = prior / prior.sum()
-        for _ in range(rounds if len(og) else 0):
-            add = np.zeros(len(names))
-            for r in og.itertuples():
-                m, s = norms.get(r.period, norms[None])
-                lp = np.log(w + 1e-12) - ((r.bin / BINS + logw - m) / s) ** 2 / 2 - math.log(s)
-                q = np.exp(lp - lp.max())
-                add += r.n * q / q.sum()
-            new = (prior + add) / (prior + add).sum()
-            if np.abs(new - w).max() < 1e-6:
-                break
-            w = new
-        weights[int(d)] = w.tolist()
-    return {"norms": norms, "weights": weights, "overall": overall.tolist()}
+        own = lacking.get(y, ())
+        if own:
+            n = np.array([r["n"] for r in own], float)
+            mean, sd = np.array([norms.get(r["period"], norms[None]) for r in own]).T[:, :, None]
+            like = -((np.array([r["bin"] for r in own])[:, None] / BINS + logw - mean) ** 2) / (2 * sd * sd) + np.log(np.array([told[r["std"]] for r in own]))
+            for _ in range(rounds):
+                q = np.log(w + 1e-12) + like
+                q = np.exp(q - q.max(1, keepdims=True))
+                new = prior + (q / q.sum(1, keepdims=True) * n[:, None]).sum(0)
+                new /= new.sum()
+                moved, w = np.abs(new - w).max(), new
+                if moved < 1e-6:
+                    break
+        weights[int(y)] = w.tolist()
+    return {"norms": norms, "weights": weights, "overall": overall.tolist(), "told": {s: v.tolist() for s, v in told.items()}}
 
 
 RESULT = T.StructType([
@@ -208,12 +235,13 @@ def convert(salary: DataFrame, pay_units: DataFrame, sure: float = 0.9, noise: f
     once. Extra columns are kept, but for those named like the result's, which are replaced. An empty table gives an empty
     result with the full schema. No two units tie: equal posteriors go to the unit named, then the smaller unit_id.
     """
-    names = [f.name for f in RESULT] + ["stated_unit", "unit_source", "ad_day", "stated_std", "date_std", "stated_sum"]
+    names = [f.name for f in RESULT] + ["stated_unit", "unit_source", "ad_day", "stated_std", "date_std", "stated_sum", "told_std"]
     salary = salary.drop(*[c for c in names if c in salary.columns]).dropDuplicates(["ad_id", "span_start"])
     units = _units_of(pay_units)
     parsed = parse(salary)
     spelled = F.when(F.col("stated_sum").isNull() & F.col("phrase").rlike(r"\p{L}{4}"), spelled_sum(F.col("phrase")))
     parsed = parsed.withColumn("stated_sum", F.coalesce("stated_sum", spelled))
+    parsed = parsed.withColumn("told_std", _told_standard(F.col("standard")) if "standard" in salary.columns else F.lit(""))
     model = fit(parsed, units)
     return _posterior(parsed, units, model, sure, noise)
 
@@ -228,11 +256,13 @@ def _posterior(parsed: DataFrame, units: pd.DataFrame, model: dict, sure: float,
     standard = np.array([s or "" for s in units.standard], object)
     named = {(n, s or ""): i for i, (n, s) in enumerate(zip(units.unit_name, units.standard, strict=True))}
     overall = np.array(model["overall"])
+    weights = {y: np.array(w) for y, w in model["weights"].items()}
+    standards = {s: np.array(w) for s, w in model["told"].items()}
 
     @F.pandas_udf(RESULT)
-    def assign(amount: pd.Series, high: pd.Series, total: pd.Series, kind: pd.Series, std: pd.Series, date_std: pd.Series, decade: pd.Series, period: pd.Series) -> pd.DataFrame:
+    def assign(amount: pd.Series, high: pd.Series, total: pd.Series, kind: pd.Series, std: pd.Series, date_std: pd.Series, told: pd.Series, year: pd.Series, period: pd.Series) -> pd.DataFrame:
         out = {"unit_id": [], "posterior": [], "uncertain": [], "kronen_min": [], "kronen_max": []}
-        for a, b, v, k, s, ds, d, p in zip(amount, high, total, kind, std, date_std, decade, period, strict=True):
+        for a, b, v, k, s, ds, ts, y, p in zip(amount, high, total, kind, std, date_std, told, year, period, strict=True):
             if a is None or not a > 0 or not len(ids):
                 for x in out.values():
                     x.append(None)
@@ -242,7 +272,9 @@ def _posterior(parsed: DataFrame, units: pd.DataFrame, model: dict, sure: float,
             if at is None and k:
                 at = named.get((k, ""))
             fits = (standard == "") | (standard == (s or ds or "öW"))
-            w = np.array(model["weights"].get(int(d) if d == d else 0, overall)) * fits
+            w = weights.get(int(y), overall) * fits
+            if at is None:
+                w = w * standards[ts]
             if at is not None:
                 near = fits & (family == family[at])
                 w = np.where(near, 0.1, 0.0) if v == v and v else np.where(near, overall + 1e-6, 0.0)
@@ -266,7 +298,7 @@ def _posterior(parsed: DataFrame, units: pd.DataFrame, model: dict, sure: float,
         frame = pd.DataFrame(out)
         return frame.astype({"unit_id": "Int64"})
 
-    decade = F.floor(F.coalesce(F.year("ad_day"), F.lit(0)) / 10).cast("double")
+    year = F.coalesce(F.year("ad_day"), F.lit(0))
     cols = [F.col(c).cast("double") for c in ("amount_min", "amount_max", "stated_sum")]
-    df = parsed.withColumn("_u", assign(*cols, F.col("stated_unit"), F.col("stated_std"), F.col("date_std"), decade, F.substring(F.col("period"), 1, 12)))
-    return df.select("*", "_u.*").drop("_u", "date_std")
+    df = parsed.withColumn("_u", assign(*cols, F.col("stated_unit"), F.col("stated_std"), F.col("date_std"), F.col("told_std"), year, F.col("period")))
+    return df.select("*", "_u.*").drop("_u", "date_std", "told_std")

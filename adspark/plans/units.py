@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from adspark.operators.units import convert
 from adspark.runtime import table
 
-NEEDED = ("ad_id", "year", "span_start", "phrase", "amount_min", "amount_max", "currency", "period")
+NEEDED = ("ad_id", "year", "span_start", "phrase", "amount_min", "amount_max", "currency", "standard", "period")
 
 
 def _converted(spark: SparkSession, d: str) -> DataFrame:
