@@ -11,9 +11,10 @@ from adspark.runtime import cut
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable. NULL ends are dropped, self-loops keep their node.
 
-    Alternating star contractions: every round hangs larger neighbours on the smallest one and drops what is then a tree edge.
-    Rounds grow with the logarithm of the longest path, each costs two aggregations of the edges left, and no neighbourhood is
-    gathered: only minima are. Every round is checkpointed, so a lost executor repeats one round.
+    Smallest labels spread along the edges while pointers jump: every round a node takes the smallest label among its
+    neighbours and then the label of the node so named. Rounds grow with the logarithm of the longest path, each joins all
+    edges with the labels, and no neighbourhood is gathered: only minima are, combined map-side. Every round is checkpointed,
+    so a lost executor repeats one round.
     """
     given = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
     nodes = given.select(F.explode(F.array("u", "v")).alias("node")).distinct()

@@ -4,6 +4,8 @@ import math
 import os
 
 import duckdb
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,6 +80,25 @@ def test_same_ad():
     assert not dedup.same_ad("zu kurz", "zu kurz")
 
 
+def test_common_places_are_a_longest_common_subsequence():
+    rng = random.Random(1)
+    for _ in range(200):
+        a, b = (rng.choices("abcde", k=rng.randint(0, 12)) for _ in range(2))
+        length = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                length[i + 1][j + 1] = length[i][j] + 1 if x == y else max(length[i][j + 1], length[i + 1][j])
+        got = dedup.common_places(a, b)
+        assert len(got) == length[-1][-1] and all(a[i] == b[j] for i, j in got)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:], strict=False))
+
+
+def test_border_text_is_no_exchange():
+    a = "Gesucht wird eine tüchtige Köchin für ein größeres Haus in Wien"
+    assert dedup.same_ad(a, a + " Anträge an die Expedition") and dedup.compare(a, "Nr. 17 " + a).instead_a == ()
+    assert dedup.compare(a, a.replace("Köchin", "Lehrerin")).instead_b == ("Lehrerin",)
+
+
 def test_deduplicate(spark):
     a = "Gesucht wird eine tüchtige Köchin für ein größeres Haus in Wien, Adresse in der Expedition"
     rows = [("a", "1900-01-01", a, True, 1), ("b", "1900-02-01", a, True, 0), ("c", "1900-03-20", a.replace("tüchtige", "tüchtigc"), True, 0), ("d", "1905-01-01", a, True, 0), ("e", "1900-01-01", a, False, 0), ("f", "1900-01-02", "kurz", True, 0)]
