@@ -22,15 +22,25 @@ def position_spans(ads: DataFrame) -> DataFrame:
     return p.select("ad_id", "newspaper", "year", "text", F.col("p.start").alias("span_start"), F.col("p.end").alias("span_end"), F.col("p.text").alias("form"), F.col("p.gender").alias("gender"))
 
 
-def requirement_spans(ads: DataFrame, columns: tuple[str, ...] = REQUIREMENT_COLUMNS) -> DataFrame:
-    """One row per requirement mention: all span columns in one generate, so the ads are read once."""
+def without_registers(spans: DataFrame, ad_text: DataFrame | None) -> DataFrame:
+    """Spans of ads that are no death registers; ads without a text row or flag stay."""
+    if ad_text is None:
+        return spans
+    return spans.join(ad_text.where("flag_death_register").select("ad_id").distinct(), "ad_id", "left_anti")
+
+
+def requirement_spans(ads: DataFrame, columns: tuple[str, ...] = REQUIREMENT_COLUMNS, ad_text: DataFrame | None = None) -> DataFrame:
+    """One row per requirement mention: all span columns in one generate, so the ads are read once.
+
+    With `ad_text`, death registers are left out; position mentions (see position_spans) keep them.
+    """
     a = ads.select("ad_id", "newspaper", "year", "text", *columns).dropDuplicates(["ad_id"])
 
     def tagged(c: str):
         return F.transform(F.coalesce(F.col(c), F.array()), lambda s: F.struct(F.lit(c).alias("column"), s["start"].alias("span_start"), s["end"].alias("span_end"), s["text"].alias("phrase")))
 
     all_ = F.flatten(F.array(*[tagged(c) for c in columns]))
-    return a.select("ad_id", "newspaper", "year", "text", F.explode(all_).alias("s")).select("ad_id", "newspaper", "year", "text", "s.*")
+    return without_registers(a, ad_text).select("ad_id", "newspaper", "year", "text", F.explode(all_).alias("s")).select("ad_id", "newspaper", "year", "text", "s.*")
 
 
 def collect_forms(spans: DataFrame, headings: DataFrame) -> DataFrame:
@@ -88,9 +98,9 @@ def ad_positions(ads: DataFrame, position_dict: DataFrame) -> DataFrame:
     return out.select("ad_id", "newspaper", "year", "source", "span_start", "span_end", "surface", "key", "extracted_gender", "e.term", "e.lemma", "e.modern", "e.gender_form", "e.category", "confidence")
 
 
-def ad_requirements(ads: DataFrame, requirement_dict: DataFrame) -> DataFrame:
+def ad_requirements(ads: DataFrame, requirement_dict: DataFrame, ad_text: DataFrame | None = None) -> DataFrame:
     """One row per (phrase mention, tag) for informative phrases; tags that a check rejected are left out."""
-    m = requirement_spans(ads).drop("text").withColumn("key", F.concat_ws(":", "column", form_key(F.col("phrase"), enumerations=False)))
+    m = requirement_spans(ads, ad_text=ad_text).drop("text").withColumn("key", F.concat_ws(":", "column", form_key(F.col("phrase"), enumerations=False)))
     d = unique_forms(requirement_dict, "req_id").where("is_informative").select("key", "tags")
     out = m.join(d, "key").select("ad_id", "newspaper", "year", "column", "span_start", "span_end", "phrase", F.explode("tags").alias("t")).where("coalesce(t.verified, true)")
     return out.select("ad_id", "newspaper", "year", "column", "span_start", "span_end", "phrase", "t.dimension", "t.group", "t.value", "t.detail", "t.in_vocab")

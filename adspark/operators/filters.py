@@ -37,7 +37,7 @@ class FilterSpec:
     where: str | None = None
 
     def column(self) -> Column:
-        """The condition; true without restrictions. Scalar ones reach the Parquet scan."""
+        """The condition on the clean table; true without restrictions. See scan_conditions for what reaches the scans."""
         unknown = [b for b in self.benefits if b not in BENEFITS]
         if unknown:
             raise ValueError(f"unknown benefit {unknown[0]!r}; known: {', '.join(BENEFITS)}")
@@ -55,3 +55,16 @@ class FilterSpec:
         if self.where:
             c.append(F.expr(self.where))
         return reduce(lambda a, b: a & b, c, F.lit(True))
+
+    def scan_conditions(self) -> tuple[Column, Column]:
+        """The part of the condition that stands on columns of the ads table, and that on columns of the text table."""
+        ads = [F.col(n).isin(v) for n, v in (("newspaper", self.newspapers), ("label", self.labels)) if v]
+        if self.year_from is not None:
+            ads.append(F.col("year") >= self.year_from)
+        if self.year_to is not None:
+            ads.append(F.col("year") <= self.year_to)
+        texts = [F.col("lang").isin(self.langs)] if self.langs else []
+        if self.countable_only:
+            ads.append(F.col("label") != "heading")
+            texts.append(~F.col("flag_death_register") & ~F.col("flag_pc_unsupported"))
+        return reduce(lambda a, b: a & b, ads, F.lit(True)), reduce(lambda a, b: a & b, texts, F.lit(True))

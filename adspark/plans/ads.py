@@ -32,9 +32,9 @@ def register(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def base(spark: SparkSession, d: str) -> DataFrame:
+def base(spark: SparkSession, d: str, spec: FilterSpec | None = None) -> DataFrame:
     names = ("ads", "ad_text", "ad_dups", "position_dict", "requirement_dict", "ad_salary")
-    return clean.build(*[table(spark, d, n) for n in names])
+    return clean.build(*[table(spark, d, n) for n in names], spec=spec)
 
 
 def _flat(df: DataFrame, *lists: str) -> DataFrame:
@@ -42,7 +42,8 @@ def _flat(df: DataFrame, *lists: str) -> DataFrame:
 
 
 def _agg(spark: SparkSession, d: str, **kw) -> DataFrame:
-    return aggregate(base(spark, d), AggregateSpec(**kw))
+    spec = AggregateSpec(**kw)
+    return aggregate(base(spark, d, spec.filters), spec)
 
 
 # ---------------------------------------------------------------- clean table
@@ -50,9 +51,10 @@ def _agg(spark: SparkSession, d: str, **kw) -> DataFrame:
 _CLEAN_COLUMNS = "ad_id, newspaper, year, label, lang, searchable, countable, quality_warning, position_gender, pay_min, pay_max, pay_currency, pay_standard, pay_period, benefit_wohnung, benefit_kost"
 
 
-@register(S.CLEAN + f"select {_CLEAN_COLUMNS}, array_to_string(position_lemmas, ';') as position_lemmas, array_to_string(position_categories, ';') as position_categories, array_to_string(requirement_tags, ';') as requirement_tags from clean")
+@register(S.CLEAN + f"select {_CLEAN_COLUMNS}, array_to_string(position_lemmas, ';') as position_lemmas, array_to_string(position_categories, ';') as position_categories, array_to_string(requirement_tags, ';') as requirement_tags, n_requirements from clean")
 def clean_star_join(spark, d):
-    return _flat(base(spark, d), "position_lemmas", "position_categories", "requirement_tags").select(*_CLEAN_COLUMNS.split(", "), "position_lemmas", "position_categories", "requirement_tags")
+    n = F.coalesce(F.size("requirements"), F.lit(0)).cast("long").alias("n_requirements")
+    return _flat(base(spark, d), "position_lemmas", "position_categories", "requirement_tags").select(*_CLEAN_COLUMNS.split(", "), "position_lemmas", "position_categories", "requirement_tags", n)
 
 
 @register(S.CLEAN + "select count(*) as ads, count(*) filter (where searchable) as searchable, count(*) filter (where countable) as countable, " + ", ".join(f"cast(round(cast(avg(case when countable then ({c} is not null)::int end) as decimal(20,10)) * 100, 1) as double) as {n}" for c, n in (("position_lemmas", "pct_position"), ("requirement_tags", "pct_requirements"), ("pay_min", "pct_pay"))) + " from clean")
@@ -74,7 +76,7 @@ def dict_positions_join_back(spark, d):
 
 @register(f"with {S.ADS}, {S.REQUIREMENTS} select ad_id, \"column\", span_start, phrase, dimension, value, detail from ar")
 def dict_requirements_join_back(spark, d):
-    return dictionary.ad_requirements(table(spark, d, "ads"), table(spark, d, "requirement_dict")).select("ad_id", "column", "span_start", "phrase", "dimension", "value", "detail")
+    return dictionary.ad_requirements(table(spark, d, "ads"), table(spark, d, "requirement_dict"), table(spark, d, "ad_text", "ad_id", "flag_death_register")).select("ad_id", "column", "span_start", "phrase", "dimension", "value", "detail")
 
 
 @register(f"with {S.SAL}, {S.PAY} select ad_id, pay_min, pay_max, pay_currency, pay_standard, pay_period, pay_amounts from pay")
@@ -84,7 +86,7 @@ def main_pay_mode(spark, d):
 
 @register(f"with {S.ADS}, {S.BENEFITS} select * from ben")
 def benefit_flags(spark, d):
-    return pay.benefits(table(spark, d, "ads", "ad_id", "verpflegung", "unspecific_salary"))
+    return pay.benefits(table(spark, d, "ads", "ad_id", "verpflegung", "unspecific_salary"), table(spark, d, "ad_salary", "ad_id", "component"), table(spark, d, "ad_text", "ad_id", "flag_death_register"))
 
 
 # ---------------------------------------------------------------- aggregate tool
@@ -147,7 +149,8 @@ def agg_top40_cut(spark, d):
 
 
 def _filtered(spark, d, **kw):
-    return base(spark, d).where(FilterSpec(**kw).column()).select("ad_id")
+    spec = FilterSpec(**kw)
+    return base(spark, d, spec).where(spec.column()).select("ad_id")
 
 
 @register(S.CLEAN + "select ad_id from clean where year between 1880 and 1899 and label in ('job_offer', 'vermittlung')")
@@ -364,7 +367,7 @@ def distinct_forms(spark, d):
     return dictionary.collect_forms(dictionary.position_spans(ads), heads).select("key", "n_spans", "n_headings", "count", "surface")
 
 
-_PHRASES = f"""with {S.ADS}, {S.REQUIREMENTS}, k as (select *, {S.key('phrase', False)} as phrase_key from phrases),
+_PHRASES = f"""with {S.ADS}, {S.REQUIREMENTS}, k as (select *, {S.key('phrase', False)} as phrase_key from phrases where ad_id not in (select ad_id from ad_text where flag_death_register and ad_id is not null)),
 f as (select * from k where phrase_key <> '' qualify row_number() over (partition by "column", phrase_key, ad_id order by span_start, span_end, year, phrase) = 1),
 r as (select *, count(*) over (partition by "column", phrase_key) as n, row_number() over (partition by "column", phrase_key order by year, ad_id) as rn from f)
 select "column", phrase_key, cast(max(n) as int) as "count", string_agg({S.snippet('text', 'span_start', 'span_end', 50)}, ' ‖ ' order by rn) as context
@@ -373,7 +376,7 @@ from r where (n < 3 and rn = n // 2 + 1) or (n >= 3 and rn in (1, n // 2 + 1, n)
 
 @register(_PHRASES)
 def contexts_first_mid_last(spark, d):
-    return dictionary.collect_phrases(dictionary.requirement_spans(table(spark, d, "ads"))).select("column", "phrase_key", "count", "context")
+    return dictionary.collect_phrases(dictionary.requirement_spans(table(spark, d, "ads"), ad_text=table(spark, d, "ad_text", "ad_id", "flag_death_register"))).select("column", "phrase_key", "count", "context")
 
 
 _E = 'e as (select form_id, coalesce("count", 1) as c, x.lemma, x.category from (select form_id, "count", unnest(entries) as x from pp)), pp as (select * from position_dict qualify row_number() over (partition by form_id) = 1)'

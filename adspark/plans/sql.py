@@ -72,7 +72,7 @@ rd as (select "key", any_value(tags) as tags, bool_or(is_informative) as is_info
 phrases as (select ad_id, newspaper, year, text, c as "column", s.start as span_start, s.end as span_end, s.text as phrase from (
   {' union all '.join(f"select ad_id, newspaper, year, text, '{c}' as c, unnest({c}) as s from a" for c in ('activity', 'attitude_towards_work', 'background', 'interpersonal', 'job_specific', 'language'))})),
 ar as (select ad_id, newspaper, year, "column", span_start, span_end, phrase, t.dimension, t."group", t.value, t.detail, t.in_vocab from (
-  select p.*, unnest(rd.tags) as t from phrases p join rd on rd."key" = p."column" || ':' || {key('p.phrase', False)} where rd.is_informative) where coalesce(t.verified, true))
+  select p.*, unnest(rd.tags) as t from phrases p join rd on rd."key" = p."column" || ':' || {key('p.phrase', False)} where rd.is_informative and p.ad_id not in (select ad_id from ad_text where flag_death_register and ad_id is not null)) where coalesce(t.verified, true))
 """
 
 PAY = """
@@ -96,7 +96,9 @@ def benefit_columns() -> str:
 
 
 BENEFITS = f"""
-ben as (select ad_id, {benefit_columns()} from (select ad_id, lower({norm('x.text')}) as p from (select ad_id, unnest(list_concat(verpflegung, unspecific_salary)) as x from a)) group by ad_id)
+ben as (select ad_id, {benefit_columns()} from (
+  select ad_id, lower({norm('x.text')}) as p from (select ad_id, unnest(list_concat(verpflegung, unspecific_salary)) as x from a where ad_id not in (select ad_id from ad_text where flag_death_register and ad_id is not null))
+  union all select ad_id, lower(component) from ad_salary where component is not null and ad_id is not null) group by ad_id)
 """
 
 CLEAN = f"""
@@ -105,14 +107,14 @@ pos as (select ad_id, list_sort(list(distinct term) filter (where term is not nu
   list_sort(list(distinct modern) filter (where modern is not null)) as position_modern, list_sort(list(distinct category) filter (where category is not null)) as position_categories,
   case when bool_and(gender_form = 'f') then 'f' when bool_and(gender_form = 'm') then 'm' when bool_or(gender_form = 'f') and bool_or(gender_form = 'm') then 'mixed' when bool_and(gender_form in ('m/f', 'n')) then 'neutral' end as position_gender
   from ap group by ad_id),
-req as (select ad_id, list_sort(list(distinct dimension || ':' || value) filter (where value is not null and dimension is not null)) as requirement_tags, list_sort(list(distinct dimension) filter (where dimension is not null)) as requirement_dimensions from ar group by ad_id),
+req as (select ad_id, list_sort(list(distinct dimension || ':' || value) filter (where value is not null and dimension is not null)) as requirement_tags, list_sort(list(distinct dimension) filter (where dimension is not null)) as requirement_dimensions, count(distinct (dimension, "group", value, detail, in_vocab)) as n_requirements from ar group by ad_id),
 clean as (
   select a.ad_id, a.newspaper, a.year, a.date, a.decade, a.page, a.label, a.text, t.text_norm, t.lang, t.n_flags, t.flag_pc_repetition, t.flag_pc_expanded, t.flag_pc_unsupported, t.flag_too_short, t.flag_death_register,
     d.dup_cluster_id, d.dup_cluster_size, d.is_canonical, d.run_first_date, d.run_last_date,
     not t.flag_death_register and a.label <> 'heading' as searchable,
     not t.flag_death_register and a.label <> 'heading' and d.is_canonical and not t.flag_pc_unsupported as countable,
     case when t.flag_pc_unsupported then 'text not supported by the scan' when t.flag_pc_repetition then 'text repeated by the correction' when t.flag_too_short then 'very short text' end as quality_warning,
-    position_terms, position_lemmas, position_modern, position_categories, position_gender, requirement_tags, requirement_dimensions,
+    position_terms, position_lemmas, position_modern, position_categories, position_gender, requirement_tags, requirement_dimensions, coalesce(n_requirements, 0) as n_requirements,
     pay_min, pay_max, pay_currency, pay_standard, pay_period, coalesce(pay_amounts, 0) as pay_amounts,
     {', '.join(f'coalesce(benefit_{b}, false) as benefit_{b}' for b in ('wohnung', 'kost', 'kleidung', 'heizung', 'licht', 'deputat', 'quartiergeld', 'zulagen'))}
   from a join t using (ad_id) join d using (ad_id) left join pos using (ad_id) left join req using (ad_id) left join pay using (ad_id) left join ben using (ad_id))
