@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -101,6 +100,15 @@ def keyword(index: DataFrame, q: str, vocab: DataFrame | None = None) -> DataFra
     return index.where(F.lit(False) if c is None else c)
 
 
+def keyword_terms(q: str, vocab: DataFrame) -> list[str]:
+    """The words of a query by which its matches are ranked: all but those of exclusions, prefixes as the words they stand for."""
+    out: list[str] = []
+    for p in parse_keywords(q):
+        if p.must:
+            out += [r["term"] for r in expand(vocab, p.words[0]).collect()] if p.kind == "prefix" else p.words
+    return list(dict.fromkeys(out))
+
+
 # ---------------------------------------------------------------- BM25
 
 
@@ -143,35 +151,52 @@ def truncate(vector: Column, dims: int) -> Column:
     return F.transform(v, lambda x: x / F.greatest(norm, F.lit(1e-12)))
 
 
-def dense(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", most_queries: int = 10_000) -> DataFrame:
-    """(query_id, key, score, rank): exact top k by inner product.
+QUERY_BLOCK = 2048  # queries that a task multiplies with its documents at a time
+
+
+def dense(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", group: str | None = None) -> DataFrame:
+    """(query_id, key, score, rank): exact top k by inner product; with `group`, of the best document of each group.
 
-    The queries are a stated set of proven size; they are sent to every task, which multiplies them with blocks of documents
-    and keeps its k best per query, so a task passes on k rows per query however many documents it holds.
+    Queries and documents stay in Spark: documents lie in parts, queries in blocks, and every (part, block) is one task that
+    multiplies them and keeps its k best per query (or the best per query and group), so what is shuffled afterwards are k rows
+    per query and part. The number of parts grows with the documents, that of blocks with the queries; nothing reaches the
+    driver but their counts.
     """
-    rows = queries.select("query_id", vector).limit(most_queries + 1).collect()
-    if len(rows) > most_queries:
-        raise ValueError("too many queries for one exact search")
-    ids = np.array([r["query_id"] for r in rows], np.int64)
-    qs = np.array([r[vector] for r in rows], np.float64).reshape(len(ids), -1)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best_s = np.full((len(ids), 0), 0.0)
-        best_d = np.zeros((len(ids), 0), np.int64)
-        for b in batches:
-            if not len(b) or not len(ids):
-                continue
-            d = np.array(b[vector].tolist(), np.float64)
-            s = np.concatenate([best_s, qs @ d.T], 1)
-            n = np.concatenate([best_d, np.broadcast_to(b[key].to_numpy(np.int64), (len(ids), len(b)))], 1)
-            order = np.lexsort((n, -np.round(s, 9)), axis=1)[:, :k]
-            best_s, best_d = np.take_along_axis(s, order, 1), np.take_along_axis(n, order, 1)
-        m = best_s.shape[1]
-        yield pd.DataFrame({"query_id": np.repeat(ids, m), key: best_d.ravel(), "score": best_s.ravel()})
-
-    part = docs.select(key, vector).where(F.col(vector).isNotNull()).mapInPandas(run, f"query_id long, {key} long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), key)
-    return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    s = docs.sparkSession
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    parts = max(1, -(-s.sparkContext.defaultParallelism // blocks))
+    d = docs.where(F.col(vector).isNotNull()).select(F.col(key).alias("_k"), F.col(vector).alias("_v"), (F.col(group) if group else F.lit(None)).cast("string").alias("_g"), F.pmod(F.xxhash64(key), F.lit(parts)).alias("part"))
+    d = d.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+    q = queries.where(F.col(vector).isNotNull()).select("query_id", F.col(vector).alias("_q"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"))
+    q = q.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))
+
+    def best(doc: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
+        if not len(doc) or not len(ask):
+            return pd.DataFrame({"query_id": [], "key": [], "score": [], "grp": []})
+        ids, keys = ask["query_id"].to_numpy(np.int64), doc["_k"].to_numpy(np.int64)
+        order = np.argsort(keys, kind="stable")  # of equal scores the smaller key comes first
+        keys, groups = keys[order], doc["_g"].to_numpy(object)[order]
+        v, qs = np.array(doc["_v"].tolist(), np.float64)[order], np.array(ask["_q"].tolist(), np.float64)
+        codes = pd.factorize(pd.Series(groups).fillna("\x00"))[0] if group else None
+        out = []
+        for at in range(0, len(ids), 256):
+            scores = qs[at : at + 256] @ v.T
+            ranked = np.argsort(-np.round(scores, 9), axis=1, kind="stable")
+            for i, row in enumerate(ranked):
+                if group:
+                    _, first = np.unique(codes[row], return_index=True)
+                    row = row[np.sort(first)]
+                row = row[:k]
+                out.append(pd.DataFrame({"query_id": ids[at + i], "key": keys[row], "score": scores[i, row], "grp": groups[row]}))
+        return pd.concat(out)
+
+    got = d.groupBy("part", "block").cogroup(q.groupBy("part", "block")).applyInPandas(best, "query_id long, key long, score double, grp string")
+    if group:
+        top = F.min(F.struct((-F.round("score", 9)).alias("s"), "key", "score")).alias("x")
+        got = got.groupBy("query_id", "grp").agg(top).select("query_id", "x.key", "x.score", "grp")
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "key")
+    out = got.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return out.select("query_id", F.col("key").alias(key), "score", "rank", *([F.col("grp").alias(group)] if group else []))
 
 
 def rrf(rankings: DataFrame, key: str, k: int = 10, constant: int = RRF_K) -> DataFrame:

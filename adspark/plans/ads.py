@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from adspark.functions import text as T
 from adspark.functions.unicode import nfc
-from adspark.operators import clean, dedup, dictionary, pay, quality
+from adspark.operators import clean, dedup, dictionary, index, pay, quality, tools
 from adspark.operators.aggregate import AggregateSpec, aggregate, top_groups
 from adspark.operators.components import components
 from adspark.operators.filters import FilterSpec
@@ -135,9 +135,9 @@ def agg_tag_values(spark, d):
     return _agg(spark, d, group_by="requirement_value")
 
 
-@register(S.CLEAN + "select substr(g, 9) as g, count(distinct ad_id) as n from (select ad_id, unnest(requirement_tags) as g from clean where countable) where starts_with(g, 'sprache:') group by 1")
+@register(S.CLEAN + "select substr(g, 12) as g, count(distinct ad_id) as n from (select ad_id, unnest(requirement_tags) as g from clean where countable) where starts_with(g, 'fertigkeit:') group by 1")
 def agg_tag_values_dimension(spark, d):
-    return _agg(spark, d, group_by="requirement_value", dimension="sprache")
+    return _agg(spark, d, group_by="requirement_value", dimension="fertigkeit")
 
 
 @register(S.CLEAN + "select g, count(distinct ad_id) as n from (select ad_id, unnest(position_lemmas) as g from clean where countable) group by 1 order by n desc, g limit 40")
@@ -203,7 +203,9 @@ def lateral_unnest(spark, d):
     return dictionary.position_spans(table(spark, d, "ads")).groupBy("gender").agg(F.count("*").alias("n"))
 
 
-_NEAR = f"""with {S.ADS}, h as (select * from a where label = 'heading'), r as (select * from a where label is null or label <> 'heading'),
+# The boxes of the data lie anywhere, so every ad with a known heading is laid under it at the gap stated; all others stay.
+_LAID = "b as (select a.ad_id, a.newspaper, a.date, a.page, a.label, a.text, coalesce(g.min_x, a.min_x) as min_x, coalesce(g.max_x, a.max_x) as max_x, coalesce(g.max_y + a.heading_gap_px, a.min_y) as min_y, coalesce(g.max_y + a.heading_gap_px + a.max_y - a.min_y, a.max_y) as max_y from a left join a g on g.ad_id = a.heading_ad_id)"
+_NEAR = f"""with {S.ADS}, {_LAID}, h as (select * from b where label = 'heading'), r as (select * from b where label is null or label <> 'heading'),
 c as (select h.ad_id as h_id, r.ad_id, r.min_y - h.max_y as gap from h join r using (newspaper, date, page)
   where (least(r.max_x, h.max_x) - greatest(r.min_x, h.min_x)) / greatest(h.max_x - h.min_x, 1) >= 0.5 and r.min_y >= h.min_y and r.min_y - h.max_y <= 80),
 n as (select * from c qualify row_number() over (partition by h_id order by gap, ad_id) = 1)
@@ -212,8 +214,12 @@ select ad_id, h_id as heading_ad_id, gap as heading_gap_px from n qualify row_nu
 
 @register(_NEAR)
 def nearest_in_column(spark, d):
-    a = once(table(spark, d, "ads", "ad_id", "newspaper", "date", "page", "label", "text", "min_x", "max_x", "min_y", "max_y"), "ad_id")
-    return link_headings(a).where("heading_ad_id is not null").select("ad_id", "heading_ad_id", "heading_gap_px")
+    a = once(table(spark, d, "ads", "ad_id", "newspaper", "date", "page", "label", "text", "min_x", "max_x", "min_y", "max_y", "heading_ad_id", "heading_gap_px"), "ad_id")
+    g = a.select(F.col("ad_id").alias("heading_ad_id"), F.col("min_x").alias("gx"), F.col("max_x").alias("gX"), F.col("max_y").alias("gy"))
+    top = F.coalesce(F.col("gy") + F.col("heading_gap_px"), F.col("min_y"))
+    laid = a.join(g.toDF("heading_ad_id", "g1", "g2", "g3"), "heading_ad_id", "left").withColumns({"gy": F.col("g3")}).withColumns({"_h": F.col("max_y") - F.col("min_y"), "_top": top})
+    laid = laid.select("ad_id", "newspaper", "date", "page", "label", "text", F.coalesce("g1", "min_x").alias("min_x"), F.coalesce("g2", "max_x").alias("max_x"), F.col("_top").alias("min_y"), (F.col("_top") + F.col("_h")).alias("max_y"))
+    return link_headings(laid).where("heading_ad_id is not null").select("ad_id", "heading_ad_id", "heading_gap_px")
 
 
 @register(f"with {S.ADS} select label, count(*) as n, round(100.0 * count(*) / (select count(*) from a where label is not null), 6) as pct from a where label is not null group by 1")
@@ -427,6 +433,53 @@ def components_from_edges(spark, d):
     return components(table(spark, d, "ad_dups", "ad_id", "dup_cluster_id"), "ad_id", "dup_cluster_id")
 
 
+# ---------------------------------------------------------------- tools
+
+
+def _tool_index(spark, d):
+    return index.rows(base(spark, d)).select("ad_id", "dup_cluster_id", "countable", "words")
+
+
+_WORDS = rf"regexp_extract_all({S.fold('text_norm')}, '[\p{{L}}\p{{N}}]+')"
+_TOOL = S.CLEAN + f", ix as (select ad_id, dup_cluster_id, countable, {_WORDS} as words from clean where searchable)"
+
+
+def _scored(terms: list[str], condition: str) -> str:
+    one = " + ".join(f"ln(1 + (n - df_{i} + 0.5) / (df_{i} + 0.5)) * tf_{i} * 2.2 / (tf_{i} + 1.2 * (0.25 + 0.75 * len(words) / greatest(mean, 1.0)))" for i in range(len(terms)))
+    dfs = ", ".join(f"count(*) filter (where list_contains(words, '{t}')) as df_{i}" for i, t in enumerate(terms))
+    tfs = ", ".join(f"len(list_filter(words, lambda w: w = '{t}')) as tf_{i}" for i, t in enumerate(terms))
+    return f", st as (select count(*) as n, avg(len(words)) as mean, {dfs} from ix), hits as (select ad_id, dup_cluster_id, countable, {one} as score from (select *, {tfs} from ix where {condition}) cross join st)"
+
+
+@register(_TOOL + _scored(["freie", "wohnung"], "contains(' ' || array_to_string(words, ' ') || ' ', ' freie wohnung ')") + "select ad_id, dup_cluster_id, round(score, 6) as score, countable from hits qualify row_number() over (partition by coalesce(dup_cluster_id, ad_id) order by score desc, ad_id) = 1")
+def tool_search_ads(spark, d):
+    """search_ads: all matches of a phrase, ranked by BM25, one per printing cluster."""
+    hits = index.best_printings(index.ranked(_tool_index(spark, d), '"freie Wohnung"'))
+    return hits.select("ad_id", "dup_cluster_id", F.round("score", 6).alias("score"), "countable")
+
+
+@register(_TOOL + ", kw as (select distinct dup_cluster_id from ix where list_contains(words, 'wohnung')) select decade as g, count(distinct ad_id) as n from clean where countable and dup_cluster_id in (select dup_cluster_id from kw) group by 1")
+def agg_keyword(spark, d):
+    """aggregate with a keyword: countable printings of the clusters that match."""
+    b = base(spark, d)
+    kept = tools.restricted(b, index.rows(b).select("dup_cluster_id", "words"), "Wohnung")
+    return aggregate(kept, AggregateSpec(group_by="decade"))
+
+
+_CONCEPT = S.fold_query("Koch")
+
+
+@register(S.CLEAN + f", c as (select ap.* from ap join clean using (ad_id) where countable), l as (select distinct lemma from c where lemma is not null and (contains(coalesce({S.fold('lemma')}, ''), '{_CONCEPT}') or contains(coalesce({S.fold('modern')}, ''), '{_CONCEPT}') or contains(coalesce({S.fold('term')}, ''), '{_CONCEPT}'))) select lemma, count(distinct ad_id) as n_ads from c where lemma in (select lemma from l) group by 1")
+def tool_expand_lemmas(spark, d):
+    return tools.concept_lemmas(dictionary.ad_positions(table(spark, d, "ads"), table(spark, d, "position_dict")), base(spark, d), "Koch")
+
+
+@register(S.CLEAN + f"select dimension, value, count(distinct ad_id) as n_ads from ar join clean using (ad_id) where countable and value is not null and contains({S.fold('value')}, '{S.fold_query('bügeln')}') group by all")
+def tool_expand_tags(spark, d):
+    r = dictionary.ad_requirements(table(spark, d, "ads"), table(spark, d, "requirement_dict"), table(spark, d, "ad_text", "ad_id", "flag_death_register"))
+    return tools.concept_tags(r, base(spark, d), "bügeln")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from adspark.functions import text as T
-from adspark.operators import evaluate, search
+from adspark.operators import evaluate, feedback, search
 from adspark.plans import sql as S
 from adspark.runtime import once, table
 
@@ -89,9 +89,15 @@ def bm25_topk(spark, d):
     return search.bm25(_texts(spark, d), _questions(spark, d), "ad_id", "text_norm").select("query_id", "ad_id", F.round("score", 6).alias("score"))
 
 
-@register("select item_id as query_id, round(100.0 * len(list_filter(regexp_extract_all(lower(text), '\\p{L}{6,}'), lambda w: contains(lower(text), w))) / len(regexp_extract_all(lower(text), '\\p{L}{6,}')) / 100, 2) as share from eval_items")
+_SHARE = "case when len(ws) = 0 then 0.0 else cast(round(cast(len(list_filter(ws, lambda w: contains(tx, w))) / len(ws) as decimal(20,10)), 2) as double) end"
+
+
+@register(_BM.replace("select query_id, ad_id, round(score, 6) as score from s qualify", ", h as (select query_id, ad_id from s qualify", 1) + f""") select query_id, ad_id, {_SHARE} as share from (
+  select h.query_id, h.ad_id, regexp_extract_all(lower(i.text), '\\p{{L}}{{6,}}') as ws, lower(coalesce(t.text_norm, '')) as tx from h join eval_items i on i.item_id = h.query_id join t using (ad_id))""")
 def verbatim_questions(spark, d):
-    return table(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), T.verbatim_share(F.col("text"), F.col("text")).alias("share"))
+    hits = search.bm25(_texts(spark, d), _questions(spark, d), "ad_id", "text_norm").select("query_id", "ad_id")
+    j = hits.join(_questions(spark, d), "query_id").join(_texts(spark, d), "ad_id")
+    return j.select("query_id", "ad_id", T.verbatim_share(F.col("question"), F.col("text_norm")).alias("share"))
 
 
 # ---------------------------------------------------------------- vectors and evaluation: queries are the ids divisible by 20
@@ -141,9 +147,8 @@ def approximate_topk(spark, d):
 @register(f"with {_TOP}, c as (select *, row_number() over (partition by query_id, label order by score desc, vec_id) as k from r) select query_id, vec_id, label from c where k = 1")
 def one_hit_per_cluster(spark, d):
     v, q = _vectors(spark, d)
-    n = 1_000_000  # every hit: the clusters cut the list, not k
-    hits = search.dense(v, q, k=n).join(v.select("vec_id", "label"), "vec_id")
-    return search.one_per_cluster(hits, "label", "vec_id", n).select("query_id", "vec_id", "label")
+    hits = search.dense(v, q, k=1000, group="label")  # more than there are labels: the labels cut the list, not k
+    return hits.select("query_id", "vec_id", F.col("label").cast("long").alias("label"))
 
 
 def _judged(spark, d):
@@ -194,10 +199,13 @@ def jsonl_props(spark, d):
     return e.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("k").alias("k"))
 
 
-@register("select user_id, event_type, event_id, value from events qualify row_number() over (partition by user_id, event_type order by ts desc, event_id desc) = 1")
+@register("""with answers as (select c_custkey as answer_id, c_mktsegment from customer), r as (select user_id as answer_id, event_type as rated_by, ts as rated_at, event_id, value from events qualify row_number() over (partition by user_id, event_type order by ts desc, event_id desc) = 1)
+select answer_id, c_mktsegment, rated_by, event_id, value from answers left join r using (answer_id)""")
 def latest_rating_join(spark, d):
-    e = table(spark, d, "events", "event_id", "ts", "user_id", "event_type", "value")
-    return e.groupBy("user_id", "event_type").agg(F.max(F.struct("ts", "event_id", "value")).alias("x")).select("user_id", "event_type", "x.event_id", "x.value")
+    """Customers play the answers, their events the ratings: one row per answer and rater, answers nobody rated stay."""
+    ratings = table(spark, d, "events").select(F.col("user_id").alias("answer_id"), F.col("event_type").alias("user"), F.col("ts").alias("time"), "event_id", "value")
+    answers = table(spark, d, "customer").select(F.col("c_custkey").alias("answer_id"), "c_mktsegment")
+    return feedback.interactions(answers, ratings).select("answer_id", "c_mktsegment", "rated_by", "event_id", "value")
 
 
 @register(f"with {S.DUPS} select newspaper, sum(len(regexp_extract_all(coalesce(dup_cluster_id, ''), '\\b[a-z]+_[0-9]{{8}}_[0-9]{{3}}_region_[0-9]{{4}}\\b'))) as cited, count(*) filter (where dup_cluster_id <> ad_id) as foreign_ids from d group by 1")

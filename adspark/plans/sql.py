@@ -20,6 +20,9 @@ def norm(x: str) -> str:
     return rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
 
 
+fold_query = T.fold_query
+
+
 def fold(x: str, normalized: bool = False) -> str:
     x = x if normalized else norm(x)
     x = f"translate(replace(lower({x}), 'ß', 'ss'), '{T.ACCENTS[0]}', '{T.ACCENTS[1]}')"
