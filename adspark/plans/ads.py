@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from adspark.functions import text as T
 from adspark.functions.unicode import nfc
-from adspark.operators import clean, dedup, dictionary, index, pay, quality, tools
+from adspark.operators import amounts, clean, dedup, dictionary, index, pay, quality, tools
 from adspark.operators.aggregate import AggregateSpec, aggregate, top_groups
 from adspark.operators.components import components
 from adspark.operators.filters import FilterSpec
@@ -433,6 +433,22 @@ def components_from_edges(spark, d):
     return components(table(spark, d, "ad_dups", "ad_id", "dup_cluster_id"), "ad_id", "dup_cluster_id")
 
 
+# ---------------------------------------------------------------- amounts
+
+
+@register()
+def amounts_parse(spark, d):
+    """Every salary span of the ads read by rules."""
+    return amounts.parse_spans(amounts.salary_spans(table(spark, d, "ads"))).drop("snippet")
+
+
+@register(f"with {S.ADS}, p as (select lower({S.norm('x.text')}) as t from (select unnest(salary) as x from a)) select count(*) as spans, count(*) filter (where regexp_matches(t, '[0-9]')) as with_number, count(*) filter (where regexp_matches(t, '^[^a-zäöüß0-9]*[0-9]+ ?(?:gulden|kronen|mark|schilling)')) as spelled_out from p")
+def amount_spans(spark, d):
+    t = F.lower(T.normalize_text(nfc(F.col("phrase"))))
+    s = amounts.salary_spans(table(spark, d, "ads")).select(t.alias("t"))
+    return s.agg(F.count("*").alias("spans"), F.count_if(F.col("t").rlike("[0-9]")).alias("with_number"), F.count_if(F.col("t").rlike("^[^a-zäöüß0-9]*[0-9]+ ?(?:gulden|kronen|mark|schilling)")).alias("spelled_out"))
+
+
 # ---------------------------------------------------------------- tools
 
 
