@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from adspark.llm import canonical, keywords, langid, leakage, ocr, packing, repetition, survivor, terms
+from adspark.llm import canonical, keywords, langid, leakage, ocr, packing, queries, repetition, survivor, terms
 
 REC = "field string, text string, n long, mark string"
 
@@ -112,6 +112,24 @@ def test_truth_discovery_does_not_stop_silently_before_it_converges(spark):
     assert {r["value"] for r in survivor.discover(df).collect()} == {1}
 
 
+def test_truth_discovery_decides_in_clusters_of_many_claims(spark):
+    # Weights far beyond what an exponential holds: the reliable source wins against more claims of the other one.
+    c = [("a", 0, 1, "g", 10_000), ("b", 0, 1, "h", 10_000), ("c", 0, 1, "g", 4_000), ("c", 0, 2, "h", 2_500), ("z", 0, 1, "g", 400), ("z", 0, 2, "h", 700)]
+    c += [("y", 0, i, "x", 2_000) for i in range(10)]  # and far below: a source that always contradicts itself
+    won = {r["cluster"]: r for r in survivor.discover(spark.createDataFrame(c, "cluster string, field int, value long, source string, n long")).collect()}
+    assert won["z"]["value"] == 1 and won["z"]["support"] > 0.99 and abs(won["y"]["support"] - 0.1) < 1e-6
+
+
+def test_p3_found_runs_nothing_that_its_rows_do_not_need(spark, monkeypatch):
+    ads = spark.createDataFrame([("a", "n", None, None), ("b", "n", "offer", "t")], "ad_id string, newspaper string, label string, text string").selectExpr("*", "date'1900-01-01' as date", "cast(null as string) heading_text")
+    text = spark.createDataFrame([("a", 0, 0.9), ("b", 1, 0.5)], "ad_id string, n_flags int, ocr_support float").selectExpr("*", "'t' as text_norm", "'h' as heading_norm", "'de' as lang")
+    frames = {"ads": ads, "ad_text": text, "ad_dups": spark.createDataFrame([("a", "k", False), ("b", "k", True)], "ad_id string, dup_cluster_id string, is_canonical boolean")}
+    monkeypatch.setattr(queries, "table", lambda spark, d, name, *columns: frames[name])
+    assert [(r.ad_id, r.label, r.filled) for r in queries.p3_survivors(spark, "").collect()] == [("a", "offer", "label,text")]
+    monkeypatch.setattr(survivor, "discover", lambda *_: pytest.fail("truth discovery has no say in which ad survives"))
+    assert rows(queries.p3_found(spark, "")) == [("k", "a")]
+
+
 # ---------------------------------------------------------------- 4 repetition
 
 
