@@ -7,14 +7,14 @@ share of its shingles that stand on several hosts.
 
 Density decides most stretches; it leaves short ones without function words open. What replication says about those differs
 between collections: where spam is stitched from copied phrases, lists are replicated; where it is shuffled from a stock of
-keywords, hardly any of its five-word phrases comes again while stock sentences do. So the evidence is calibrated: on a
-bounded sample of pages the replicated shares and the shares of words that come again are counted for stretches that density
-calls lists and for those it calls text, and an open stretch takes the side whose likelihood is larger.
+keywords, hardly any of its five-word phrases comes again while stock sentences do. So the evidence is calibrated: on all
+pages the replicated shares and the shares of words that come again are counted for stretches that density calls lists and
+for those it calls text, and an open stretch takes the side whose likelihood is larger.
 
 Price tables and numbered registers are no lists of keywords; their lines count as text.
 
-Only 64-bit hashes are shuffled, reduced to one row per (shingle, host) in every task before hosts are counted, so a phrase
-that stands on a third of all pages is one row per task and host. Pages never are.
+Only 64-bit hashes are shuffled, reduced to one row per shingle in every task before hosts are counted (for more than two
+hosts, per shingle and host), so a phrase that stands on a third of all pages is one row per task. Pages never are.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adspark.runtime import bounded_rows, cut, hash_below, spread
+from adspark.runtime import bounded_rows, cut, spread
 
 # The function words of the five languages.
 FUNCTION_WORDS = frozenset("""
@@ -211,28 +211,34 @@ def calibrate(counts: list[tuple[int, int, int, float]]) -> dict[tuple[int, int]
     return {(r, a): float(p[0][0, r] + p[0][1, a] - p[2][0, r] - p[2][1, a]) for r in range(BINS + 1) for a in range(BINS + 1)}
 
 
-def stuffed(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", hosts: int = 2, sample_rows: int = 5_000) -> DataFrame:
+def replicated(said: DataFrame, hosts: int) -> DataFrame:
+    """(shingle, wide): the shingles of (shingle, host) rows that stand on `hosts` or more hosts."""
+    if hosts == 2:  # two hosts are known by the smallest and the largest, so that every task sends a shingle once
+        wide = said.groupBy("shingle").agg(F.min("host").alias("a"), F.max("host").alias("b")).where("a != b")
+    else:
+        wide = said.distinct().groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= hosts)
+    return wide.select("shingle", F.lit(1).alias("wide"))
+
+
+def stuffed(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", hosts: int = 2) -> DataFrame:
     """One row per page: n_words, list_words, open_words, replicated_share of its open shingles, open_odds, list_share, flagged.
 
     A page's open stretches count as lists if the calibrated odds of `replicated_share` (shingles on `hosts` or more hosts) and
-    of the words that come again speak for it; without shingles they do not. The calibration reads about `sample_rows` pages
-    of smallest hash; replication counts cover all pages. Pages delivered twice count once (the larger values of equal keys
-    hold). NULL and empty texts have no words and are never flagged; a NULL host counts as a host of its own; a share of exactly
-    one half is not flagged. Very long texts are read whole. Extra columns are ignored. An empty table gives no rows.
+    of the words that come again speak for it; without shingles they do not. Calibration and replication counts cover all
+    pages. Pages delivered twice count once (the larger values of equal keys hold). NULL and empty texts have no words and are
+    never flagged; a NULL host counts as a host of its own; a share of exactly one half is not flagged. Very long texts are
+    read whole. Extra columns are ignored. An empty table gives no rows.
     """
-    m = measure(docs, key, text, host)
-    m = cut(m.groupBy(key).agg(F.max(F.struct(*[c for c in m.columns if c != key])).alias("x")).select(key, "x.*"))
-    share = min(1.0, sample_rows / max(m.count(), 1))
-    # Pages whose verdict open stretches can change, and the sample: only their shingles are looked up.
-    undecided = (F.col("list_words") * 2 <= F.col("n_words")) & ((F.col("list_words") + F.col("open_words")) * 2 > F.col("n_words"))
-    asked = m.where(undecided | hash_below(key, share)).select(key, F.explode(F.arrays_zip("shingles", "kinds")).alias("x")).where("x.kinds >= 0").select(key, F.col("x.kinds").alias("kind"), F.col("x.shingles").alias("shingle"))
-    said = m.select(F.xxhash64(F.coalesce("host", F.lit(""))).alias("host"), F.explode("shingles").alias("shingle")).distinct()
-    wide = said.join(asked.select("shingle").distinct(), "shingle", "left_semi").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= hosts).select("shingle", F.lit(1).alias("wide"))
+    m = cut(measure(docs, key, text, host))
+    if not m.groupBy(key).count().where("count > 1").isEmpty():  # else nothing but the keys need be shuffled
+        m = cut(m.groupBy(key).agg(F.max(F.struct(*[c for c in m.columns if c != key])).alias("x")).select(key, "x.*"))
+    asked = m.select(key, F.explode(F.arrays_zip("shingles", "kinds")).alias("x")).where("x.kinds >= 0").select(key, F.col("x.kinds").alias("kind"), F.col("x.shingles").alias("shingle"))
+    wide = replicated(m.select(F.xxhash64(F.coalesce("host", F.lit(""))).alias("host"), F.explode("shingles").alias("shingle")), hosts)
     shares = cut(asked.join(wide, "shingle", "left").groupBy(key, "kind").agg(F.avg(F.coalesce("wide", F.lit(0))).alias("replicated")))
     by_kind = m.select(key, *[F.col(f"{k}_again") for k in KINDS], *[F.col(f"{k}_words") for k in KINDS]).join(shares, key)
     again = F.when(F.col("kind") == 0, F.col("list_again")).otherwise(F.col("text_again"))
     words = F.when(F.col("kind") == 0, F.col("list_words")).otherwise(F.col("text_words"))
-    seen = by_kind.where((F.col("kind") != 1) & hash_below(key, share)).groupBy("kind", _bin(F.col("replicated")).alias("r"), _bin(again).alias("a")).agg(F.sum(words).alias("n"))
+    seen = by_kind.where("kind != 1").groupBy("kind", _bin(F.col("replicated")).alias("r"), _bin(again).alias("a")).agg(F.sum(words).alias("n"))
     odds = calibrate([(r["kind"], r["r"], r["a"], float(r["n"])) for r in bounded_rows(seen, 2 * (BINS + 1) ** 2, "the calibration")])
     lookup = F.create_map(*[x for (r, a), v in odds.items() for x in (F.lit(r * (BINS + 1) + a), F.lit(v))])
     out = m.select(key, "n_words", "list_words", "open_words", "open_again").join(shares.where("kind = 1").select(key, F.col("replicated").alias("replicated_share")), key, "left")

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from adspark.llm import canonical, keywords, langid, leakage, ocr, packing, queries, repetition, survivor, terms
 
@@ -314,3 +315,18 @@ def test_stuffed(spark):
     r = keywords.stuffed(spark.createDataFrame(data, "doc_id long, text string, source string, host int"))
     assert sorted(x.doc_id for x in r.where("flagged").collect()) == [2, 3, 4] and r.count() == 10
     assert keywords.stuffed(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_stuffed_calibrates_on_all_pages(spark, monkeypatch):
+    seen = []
+    calibrate = keywords.calibrate
+    monkeypatch.setattr(keywords, "calibrate", lambda counts: seen.append(counts) or calibrate(counts))
+    # Each page: 8 words of text, and 6 without function words that density leaves open.
+    docs = spark.range(7_000).selectExpr("id as doc_id", "concat('Der Koch und die Magd in Wien ', id, '. Suppe Braten Kuchen Wein Bier ', id) as text", "cast(id % 3 as string) as source")
+    r = keywords.stuffed(docs).agg(F.count("*"), F.count("replicated_share"), F.min("replicated_share")).first()
+    assert sum(n for *_, n in seen[0]) == 7_000 * 8 and tuple(r) == (7_000, 7_000, 0.5)
+
+
+def test_replicated_shingles(spark):
+    said = spark.createDataFrame([(1, 5), (1, 5), (1, 6), (1, 7), (2, 5), (2, 5), (3, 6), (3, 7)], "shingle long, host long")
+    assert [[x for x, _ in rows(keywords.replicated(said, n))] for n in (1, 2, 3, 4)] == [[1, 2, 3], [1, 3], [1], []]
