@@ -17,6 +17,7 @@ sample, so that ads without one are judged by lexicon and operations alone. Word
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 import random
@@ -24,7 +25,7 @@ import re
 import unicodedata
 from bisect import bisect_left
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import regex
@@ -43,6 +44,7 @@ NUMBER = re.compile(r"\d+")
 EACH = re.compile(r"[^\W\d_][^\W_]*|\d+(?:[^\W\d_][^\W_]*)?")
 COMPOUND = regex.compile(rf"([\p{{L}}\p{{M}}]+)-(?=([\p{{L}}\p{{M}}]+))")
 LEFT_BREAK = regex.compile(rf"(?<=[\p{{L}}])[{regex.escape(MARKS)}]\s+(?!(?:{'|'.join(sorted(CONJUNCTIONS))})\b)(?=\p{{Ll}})")
+MARKED = re.compile(rf"[{re.escape(MARKS)}]\s")
 TITLED = regex.compile(r"^(?:(?:Nr|No)\.?\s*)?\p{N}+\.?\s{1,}(?P<a>\p{L}.*?)(?:\s+(?:vom|den|am)\s+[\p{N}.\s]+)?$|^(?P<b>\p{L}.*?)\s{2,}(?:\p{L}+\.?\s+)?\p{N}+\.?$")
 MARGIN = 2.0  # a perceptron is updated until the right answer leads by this much
 
@@ -60,6 +62,8 @@ def unbroken(p: str) -> str:
 
 NO_LETTERS = re.compile(r"[\W\d_]+")
 PAGE_WORDS = re.compile(r"^(?:nr|no|seite|page|pag|strana)\s+|\s+(?:vom|seite|page|pag|strana|nr|no)$")
+PAGE_FIRST = frozenset("nr no seite page pag strana".split())  # what PAGE_WORDS takes from the beginning and the end
+PAGE_LAST = PAGE_FIRST | {"vom"}
 SHAPE = re.compile(r"\d+|[^\W\d_]+|\s{2,}")
 
 
@@ -100,10 +104,11 @@ def counts(ads: DataFrame, text: str, scan: str, source: str) -> DataFrame:
         for b in batches:
             for t, s, src in zip(b.column("t").to_pylist(), b.column("s").to_pylist(), b.column("src").to_pylist(), strict=True):
                 if t:
-                    p = unbroken(plain(t))
-                    words.update(TOKEN.findall(p))
-                    if "-" in p:
-                        held.update(("h", x + "-" + y, "") for x, y in COMPOUND.findall(p) if y not in CONJUNCTIONS)
+                    if MARKED.search(t):
+                        t = unbroken(plain(t))
+                    words.update(_named(_all_words(t)))
+                    if "-" in t:
+                        held.update(("h", h, "") for x in t.split() if "-" in x for h in HYPHENED[x] if h.rpartition("-")[2] not in CONJUNCTIONS)
                 if s:
                     held.update(("t", src or "", u) for line in s.split("\n") if (u := title_of(line.strip())))
             if len(words) + len(held) > 200_000:
@@ -153,12 +158,22 @@ class Knowledge:
     def title(self, source: str, line: str, words: list[str]) -> tuple[bool, bool]:
         """Whether a line is a title of the source, and whether a short line ends like one."""
         # A line with more letters than a title, two misread ones and the page words around it can have is none.
-        long = sum(map(len, words)) > self.longest.get(source or "", 0) + 30
-        if long and (len(words) > 10 or not any(w in self.ends for w in words[-3:])):
+        longest = self.longest.get(source or "", 0)
+        joined = "".join(words)
+        if len(joined) > longest + 30 and (len(words) > 10 or not any(w in self.ends for w in words[-3:])):
             return False, False
-        core = PAGE_WORDS.sub("", letters(line))
-        ws = core.split()
-        return _titled(core, self.titles.get(source or "", ())), bool(ws) and len(ws) <= 6 and ws[-1] in self.ends
+        ws = words
+        if not joined.isalpha():
+            ws = _named(words)
+            joined = "".join(ws)
+        if joined.isalpha():  # no figures within words: the letters of the line are its words
+            if len(ws) > 1 and ws[0] in PAGE_FIRST:
+                ws = ws[1:]
+            if len(ws) > 1 and ws[-1] in PAGE_LAST:
+                ws = ws[:-1]
+        else:
+            ws = PAGE_WORDS.sub("", letters(line)).split()
+        return len("".join(ws)) + len(ws) <= longest + 3 and _titled(" ".join(ws), self.titles.get(source or "", ())), bool(ws) and len(ws) <= 6 and ws[-1] in self.ends
 
     def begins(self, prefix: str) -> bool:
         """Whether a word of the lexicon begins so."""
@@ -169,9 +184,14 @@ class Knowledge:
         return min(int(math.log2(self.words.get(w, 0) + 1)), 12)
 
 
-def shape(line: str) -> str:
-    """Figures as 9, capitalised words as A, words in capitals as X, other words as a, blanks as they are in number."""
-    return SHAPE.sub(_symbol, line)[:24]
+def shape(line: str, parts: list[str]) -> str:
+    """Figures as 9, capitalised words as A, words in capitals as X, other words as a, blanks as they are in number.
+
+    `parts`: the line split at blanks. The first 24 symbols hold 12 blanks at most, so 13 parts are enough.
+    """
+    if " ".join(parts) != line:
+        return SHAPE.sub(_symbol, line)[:24]
+    return " ".join([SHAPES[x] for x in parts[:13]])[:24]
 
 
 def _symbol(m: re.Match) -> str:
@@ -184,9 +204,38 @@ def _symbol(m: re.Match) -> str:
     return "__" if c.isspace() else "9"
 
 
+class Memo(dict):
+    """What a function says of a string, computed once; cleared when it grows large."""
+
+    def __init__(self, f: Callable):
+        super().__init__()
+        self.f = f
+
+    def __missing__(self, x: str):
+        if len(self) > 300_000:
+            self.clear()
+        got = self[x] = self.f(x)
+        return got
+
+    def __reduce__(self):
+        return Memo, (self.f,)
+
+
+# Of what stands between blanks: words and figures, hyphenated words, shape; of a word: its letters as bits.
+WORDS = Memo(lambda x: tuple(EACH.findall(plain(x))))
+HYPHENED = Memo(lambda x: tuple(a + "-" + b for a, b in COMPOUND.findall(plain(x))))
+SHAPES = Memo(lambda x: SHAPE.sub(_symbol, x))
+LETTERS = Memo(lambda w: functools.reduce(lambda bits, c: bits | 1 << (ord(c) & 63), w, 0))
+
+
 def _all_words(s: str) -> list[str]:
     """Words and figures, in order."""
-    return EACH.findall(plain(s))
+    return list(itertools.chain.from_iterable(map(WORDS.__getitem__, s.split())))
+
+
+def _named(words: list[str]) -> list[str]:
+    """Words without figures."""
+    return list(itertools.filterfalse(str.isdecimal, words))
 
 
 class Witness:
@@ -195,23 +244,29 @@ class Witness:
     def __init__(self, spoken: list[list[str]], said: list[str]):
         self.scanned = Counter(itertools.chain.from_iterable(spoken))
         self.wanted = Counter(said)
-        self.lacking = [(t, len(t)) for t, n in self.wanted.items() if n > self.scanned[t] and len(t) >= 2]
+        scanned = self.scanned.get
+        self.lacking = [(t, len(t)) for t, n in self.wanted.items() if n > scanned(t, 0) and len(t) >= 2]
 
     def needs(self, ws: list[str]) -> str:
         """'1' if the text needs a word of this line (it has it as often as the whole scan), 'f' if one like it, else '0'."""
-        wanted, scanned = self.wanted, self.scanned
+        wanted, scanned = self.wanted.get, self.scanned.get
         for w in ws:
-            if wanted[w] >= scanned[w]:
+            if wanted(w, 0) >= scanned(w, 0):
                 return "1"
-        return "f" if any(len(w) >= 4 and abs(n - len(w)) <= 2 and _similar(w, t) for w in ws for t, n in self.lacking) else "0"
+        for w in ws if self.lacking else ():
+            m = len(w)
+            if m >= 4 and any(-2 <= n - m <= 2 and _similar(w, t) for t, n in self.lacking):
+                return "f"
+        return "0"
 
 
-def line_key(lines: list[str], i: int, words: list[str], source: str, know: Knowledge, witness: Witness | None) -> tuple:
+def line_key(lines: list[str], i: int, words: list[str], source: str, know: Knowledge, witness: Witness | None, breaks: list[bool]) -> tuple:
     """What the line model sees of a line. `words`: its words and figures; `witness`: None without a text that speaks of the same."""
     line = lines[i].strip()
+    parts = line.split()
     where = "only" if len(lines) == 1 else "first" if i == 0 else "last" if i == len(lines) - 1 else "mid"
     seen = "none" if witness is None else witness.needs(words)
-    return *know.title(source, line, words), where, seen, _carried(lines, i), shape(line), min(len(line.split()), 7)
+    return *know.title(source, line, words), where, seen, _carried(lines, i, breaks), shape(line, parts), min(len(parts), 7)
 
 
 def line_features(key: tuple) -> list[str]:
@@ -224,23 +279,23 @@ def _titled(core: str, own: Iterable[str]) -> bool:
     return bool(core) and (core in own or any(abs(len(t) - len(core)) <= 2 and _close(t, core) for t in own))
 
 
-def _carried(lines: list[str], i: int) -> bool:
-    """Whether the line may end a word broken on the line before it, or before a short line between."""
-    if i and broken(lines[i - 1]):
+def _carried(lines: list[str], i: int, breaks: list[bool]) -> bool:
+    """Whether the line may end a word broken on the line before it, or before a short line between. `breaks`: which are broken."""
+    if i and breaks[i - 1]:
         return True
-    return i > 1 and len(lines[i - 1]) < 60 and lines[i].strip()[:1].islower() and bool(broken(lines[i - 2]))
+    return i > 1 and breaks[i - 2] and len(lines[i - 1]) < 60 and lines[i].strip()[:1].islower()
 
 
 def _covered(spoken: list[list[str]], seen: set[str]) -> bool:
     """Whether the corrected text speaks of the same as the scan: it holds most of the words of its lines."""
-    tokens = [w for ws in spoken for w in ws if not w.isdigit()]
-    return sum(w in seen for w in tokens) >= 0.75 * len(tokens)
+    tokens = list(itertools.filterfalse(str.isdigit, itertools.chain.from_iterable(spoken)))
+    return sum(map(seen.__contains__, tokens)) >= 0.75 * len(tokens)
 
 
-def _lacking(listed: list[str], tokens: list[str]) -> list[str]:
+def _lacking(wanted: Counter, own: Counter) -> list[str]:
     """Words that the corrected text has more often than the scan."""
-    own = Counter(tokens)
-    return [t for t, n in Counter(listed).items() if n > own[t] and not t.isdigit()]
+    had = own.get
+    return [t for t, n in wanted.items() if n > had(t, 0) and not t.isdigit()]
 
 
 def _close(a: str, b: str) -> bool:
@@ -324,6 +379,7 @@ class Editor:
         self.after: dict[str, list[str]] = {}  # left neighbour -> what may be inserted behind it
         self.memo: dict[str, list[str]] = {}
         self.alone: dict[tuple[str, str], tuple[float, str]] = {}
+        self.vouched: dict[tuple[str, str, str], float] = {}
 
     def learn(self, seen: Counter, least: int = 3) -> None:
         """Take up the operations (left neighbour, from, to) that occurred `least` times; replacements count over all neighbours."""
@@ -394,9 +450,15 @@ class Editor:
                 if s > got[0]:
                     got = s, c
             self.alone[o, present] = got
+        if not near:
+            return got[1]
         top, word = got
+        if len(self.vouched) > 400_000:
+            self.vouched.clear()
         for c in near:
-            s = self.model.score(self.features(o, c, True, present))
+            s = self.vouched.get((o, c, present))
+            if s is None:
+                s = self.vouched[o, c, present] = self.model.score(self.features(o, c, True, present))
             if s > top:
                 top, word = s, c
         return word
@@ -406,15 +468,21 @@ PAIRS: dict[tuple[str, str], bool] = {}
 
 
 def _similar(a: str, b: str) -> bool:
-    """At least half of the longer word's letters in common, in a cheap count."""
+    """At least half of the longer word's letters in common, in a cheap count; seven tenths unless they begin or end alike."""
+    longer = max(len(a), len(b))
+    most = len(b) - (LETTERS[b] & ~LETTERS[a]).bit_count()  # letters in common, as many at most
+    if most < 0.7 * longer and (most < 0.5 * longer or a[:2] != b[:2] and a[-2:] != b[-2:]):
+        return False
     got = PAIRS.get((a, b))
     if got is None:
         if len(PAIRS) > 300_000:
             PAIRS.clear()
-        longer = max(len(a), len(b))
-        ca = Counter(a)
-        common = sum(min(n, ca[x]) for x, n in Counter(b).items())
-        got = PAIRS[a, b] = a != b and common >= 0.5 * longer and (a[:2] == b[:2] or a[-2:] == b[-2:] or common >= 0.7 * longer)
+        common = 0
+        for x in set(b):
+            n = a.count(x)
+            if n:
+                common += 1 if n == 1 else min(n, b.count(x))
+        got = PAIRS[a, b] = a != b and common >= 0.5 * longer and (common >= 0.7 * longer or a[:2] == b[:2] or a[-2:] == b[-2:])
     return got
 
 
@@ -430,9 +498,10 @@ class Page:
         """Words and figures of a corrected text, the same as a set, and its hyphenated words."""
         if not text:
             return [], None, None
-        p = unbroken(plain(text))
-        said = EACH.findall(p)
-        return said, set(said), {x + "-" + y for x, y in COMPOUND.findall(p)} if "-" in p else set()
+        if MARKED.search(text):
+            text = unbroken(plain(text))
+        said = _all_words(text)
+        return said, set(said), {h for x in text.split() if "-" in x for h in HYPHENED[x]} if "-" in text else set()
 
     def furniture(self, key: tuple) -> bool:
         if len(self.judged) > 400_000 or self.judged_by is not self.lines.w:
@@ -448,23 +517,28 @@ class Page:
             return "", []
         said, seen, compounds = self.witness(text)
         know = self.know
-        lines = [x for x in scan.split("\n") if x.strip()]
         found: dict[tuple[str, str], None] = {}
         kept: list[str] = []
+        at: list[int] = []  # which lines are kept
+        lines = [x for x in scan.split("\n") if x.strip()]
         spoken = [_all_words(x) for x in lines]
+        breaks = [x.rstrip()[-1] in MARKS and bool(broken(x)) for x in lines]
         witness = Witness(spoken, said) if seen is not None and _covered(spoken, seen) else None
         for i, line in enumerate(lines):
-            if self.furniture(line_key(lines, i, spoken[i], source, know, witness)):
+            if self.furniture(line_key(lines, i, spoken[i], source, know, witness, breaks)):
                 found["furniture", line.strip()] = None
             else:
                 kept.append(line)
+                at.append(i)
         pieces: list[str] = []
+        tokens: list[str] = []
         splits: list[str] = []
         carry = ""
         for i, line in enumerate(kept):
+            carried = carry
             line = carry + line.strip()
             carry = ""
-            m = broken(line)
+            m = broken(line) if carried or breaks[at[i]] else None
             nxt = HEAD.match(kept[i + 1]) if m and i + 1 < len(kept) else None
             if m and nxt:
                 if self.joins.score(join_features(m[1], m[2], nxt[1], know, seen, compounds)) > 0:
@@ -474,18 +548,26 @@ class Page:
                 carry = line.rstrip()[:-1] + ("- " if plain(nxt[1]) in CONJUNCTIONS else "-")
                 continue
             pieces.append(line)
+            tokens += TOKEN.findall(plain(line)) if carried else _named(spoken[at[i]])
         if carry:
             pieces.append(carry)
+            tokens += TOKEN.findall(plain(carry))
         whole = " ".join(pieces)
-        low = plain(whole)
-        tokens = TOKEN.findall(low)
-        lacking = _lacking(said, tokens)
+        own = Counter(tokens)
+        lacking = _lacking(witness.wanted if witness else Counter(said), own)
+        by_length: dict[int, list[str]] = {}  # the lacking words that one of this length may be
         fixed: dict[str, str] = {}
-        for w in dict.fromkeys(tokens):
+        best, alone = self.editor.best, self.editor.alone.get
+        for w in own:
             if len(w) < 2:
                 continue
             present = "none" if seen is None else "yes" if w in seen else "no"
-            c = self.editor.best(w, lacking, present)
+            n = len(w)
+            near = by_length.get(n)
+            if near is None:
+                near = by_length[n] = [t for t in lacking if -2 <= len(t) - n <= 2]
+            got = None if near else alone((w, present))
+            c = best(w, near, present) if got is None else got[1]
             if c != w:
                 fixed[w] = c
                 found["misread", c] = None
@@ -511,16 +593,17 @@ def train(sample: list[tuple[str, str, str]], know: Knowledge, epochs: int = 4,
         said, seen, compounds = page.witness(text)
         hide = n % 3 == 0
         lines = [x for x in scan.split("\n") if x.strip()]
-        kept = []
         spoken = [_all_words(x) for x in lines]
+        breaks = [x.rstrip()[-1] in MARKS and bool(broken(x)) for x in lines]
+        kept = []
         if not _covered(spoken, seen):
             continue  # the text is cut, invented or another one: it teaches nothing about this scan
         both = Witness(spoken, said)
         for i, line in enumerate(lines):
-            carried = _carried(lines, i)
+            carried = _carried(lines, i, breaks)
             # Nothing of a line in the corrected text: furniture, unless it only ends a broken word.
             gone = both.needs(spoken[i]) == "0" and not (carried and line.strip()[:1].islower()) and len(lines) > 1
-            lines_data.append((line_features(line_key(lines, i, spoken[i], source, know, None if hide else both)), gone))
+            lines_data.append((line_features(line_key(lines, i, spoken[i], source, know, None if hide else both, breaks)), gone))
             if not gone:
                 kept.append(line)
         carry = ""
@@ -542,8 +625,9 @@ def train(sample: list[tuple[str, str, str]], know: Knowledge, epochs: int = 4,
                 continue
             pieces.append(line)
         tokens = TOKEN.findall(plain(" ".join(pieces)))
-        lacking = _lacking(said, tokens)
-        for w in dict.fromkeys(tokens):
+        own = Counter(tokens)
+        lacking = _lacking(both.wanted, own)
+        for w in own:
             if len(w) < 2:
                 continue
             if w not in seen:
@@ -618,19 +702,22 @@ def repair(ads: DataFrame, key: str = "ad_id", text: str = "text", scan: str = "
     Without any usable row the models are empty and change nothing. Extra columns are ignored; an empty table gives no rows.
     """
     shared = Shared(ads.sparkSession, learn(ads, key, text, scan, source, sample_rows, lexicon))
-    kind = pa.list_(pa.struct([("kind", pa.string()), ("item", pa.string())]))
     src = ads.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(scan).alias("s"), F.col(source).cast("string").alias("o"))
     key_kind = src.schema["k"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         page: Page = shared.value
         for b in batches:
-            texts, items = [], []
+            texts, kinds, items, ends = [], [], [], [0]
             for t, s, o in zip(b.column("t").to_pylist(), b.column("s").to_pylist(), b.column("o").to_pylist(), strict=True):
                 whole, found = page.repair(s, t, o)
                 texts.append(whole)
-                items.append([{"kind": x, "item": y} for x, y in found])
-            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(texts, pa.string()), pa.array(items, kind)], names=["k", "repaired", "items"])
+                for x, y in found:
+                    kinds.append(x)
+                    items.append(y)
+                ends.append(len(items))
+            each = pa.StructArray.from_arrays([pa.array(kinds, pa.string()), pa.array(items, pa.string())], names=["kind", "item"])
+            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(texts, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)], names=["k", "repaired", "items"])
 
     return spread(src).mapInArrow(run, f"k {key_kind}, repaired string, items array<struct<kind:string,item:string>>").withColumnRenamed("k", key)
 

@@ -85,6 +85,36 @@ def test_all_lexicon_words_within_two_operations_are_reached():
         assert want <= set(ed.reach(w))
 
 
+def test_what_is_remembered_of_pages_equals_what_is_read_anew(monkeypatch):
+    rng = random.Random(5)
+    signs = "aabcdeinrstAEKSäöüßſΣσ019²٣_-=¬.,'\u0308\u0301\u00ad" + " " * 9 + "\t\u00a0"
+    know = ocr.Knowledge({}, {}, {"n": {"wiener bote", "nr abc"}})
+    for _ in range(4000):
+        line = "".join(rng.choices(signs, k=rng.randint(1, 40)))
+        if rng.random() < 0.3:
+            line = rng.choice(["Seite ", "Nr. ", "No "]) + rng.choice(["wiener bote", "abc", line]) + rng.choice(["", " 3", " vom", " No", " 1a"])
+        if not (line := line.strip()):
+            continue
+        words = ocr._all_words(line)
+        assert words == ocr.EACH.findall(ocr.plain(line)) and ocr._named(words) == ocr.TOKEN.findall(ocr.plain(line))
+        assert ocr.shape(line, line.split()) == ocr.SHAPE.sub(ocr._symbol, line)[:24]
+        core = ocr.PAGE_WORDS.sub("", ocr.letters(line))
+        ws = core.split()
+        assert know.title("n", line, words) == (ocr._titled(core, know.titles["n"]), bool(ws) and len(ws) <= 6 and ws[-1] in know.ends), line
+        p = ocr.unbroken(ocr.plain(line))
+        assert ocr.Page(know).witness(line) == (ocr.EACH.findall(p), set(ocr.EACH.findall(p)), {a + "-" + b for a, b in ocr.COMPOUND.findall(p)})
+    for _ in range(4000):
+        a, b = ("".join(rng.choices("abceinrst", k=rng.randint(2, 9))) for _ in "ab")
+        common, longer = sum((Counter(a) & Counter(b)).values()), max(len(a), len(b))
+        assert ocr._similar(a, b) == (a != b and common >= 0.5 * longer and (a[:2] == b[:2] or a[-2:] == b[-2:] or common >= 0.7 * longer))
+    # Words that were read on one page are not folded and split again on the next.
+    page, asked, plain = ocr.Page(know), [], ocr.plain
+    scan = "Der Koch sucht eine Stelle in\nWien und die Magd sucht eine in Graz"
+    first = page.repair(scan, scan, "n")
+    monkeypatch.setattr(ocr, "plain", lambda s: asked.append(s) or plain(s))
+    assert page.repair(scan, scan, "n") == first and not asked
+
+
 # ---------------------------------------------------------------- 6 canonical list
 
 
