@@ -107,6 +107,21 @@ def test_deduplicate(spark):
     assert got == {"a": ("b", 3, False), "b": ("b", 3, True), "c": ("b", 3, False), "d": ("d", 1, True), "e": ("e", 1, True), "f": ("f", 1, True)}
 
 
+def test_sketches_are_shared_out_and_units_alone_in_their_buckets_left_out(spark):
+    rng = random.Random(3)
+    words = [f"wort{i}" for i in range(300)]
+    texts = [" ".join(rng.choices(words, k=20)) for _ in range(30)]
+    rows = [(f"{i}_{k}", rng.choice("nm"), 1900, k * 35, t if k % 2 else t.replace("wort1", "wart1", 1), True, 0, 0.5) for i, t in enumerate(texts) for k in range(5)]
+    df = spark.createDataFrame(rows, "ad_id string, newspaper string, year int, day int, text_norm string, eligible boolean, n_flags int, ocr_support double").withColumn("date", F.date_add(F.lit("1900-01-01").cast("date"), F.col("day")))
+    u = dedup.cut(dedup.units(df, 4))
+    shares = [len(p) for p in u.rdd.glom().collect()]
+    assert len(shares) == 4 and min(shares) > 0
+    keys = {r.unit: {(band, *map(int, part)) for band, part in enumerate(dedup.sketch(r.text_norm).reshape(dedup.BANDS, -1))} for r in u.collect()}
+    units = u.collect()
+    want = {tuple(sorted((x.unit, y.unit))) for x in units for y in units if x.newspaper == y.newspaper and x.text_norm != y.text_norm and keys[x.unit] & keys[y.unit] and max(y.first_day - x.last_day, x.first_day - y.last_day) <= dedup.WINDOW_DAYS}
+    assert want and {tuple(r) for r in dedup.candidate_pairs(u).collect()} == want
+
+
 def test_keyword_grammar(spark):
     ix = search.keyword_index(spark.createDataFrame([("a", "Gute Köchin gesucht"), ("b", "Gärtner und Gartenarbeiter"), ("c", "Köchin ohne Lohn, freie Wohnung")], "ad_id string, t string"), "ad_id", "t")
     hit = lambda q: sorted(r.ad_id for r in search.keyword(ix, q).collect())
